@@ -22,12 +22,12 @@ def pairs(text: Column, fields: tuple[str, ...] = FIELDS) -> Column:
     """Normalised 'field\\2value' pairs of a text, in the order of the text.
 
     Of a value stay the letters, digits and combining marks in lower case, the sign of a number (a hyphen before a digit
-    and after nothing of the value) and its decimal point (a point between digits).
+    and after nothing of the value) and its decimal point (a point before a digit and not after a letter).
     """
     name = rf"(?i)(?<![\p{{L}}\p{{N}}])({'|'.join(fields)})[\p{{Pe}}\p{{Pf}}\"'>\s\p{{Z}}]*(?:->|=|:)"
     marked = F.regexp_replace(F.translate(text, _WIDE, _PLAIN), name, _PAIR + "$1" + _VALUE)
     # Sign and point become marks of their own, so that the removal of punctuation leaves them.
-    kept = F.regexp_replace(F.regexp_replace(marked, r"(?<![\p{L}\p{N}])-(?=\.?[0-9])", "\u0003"), r"(?<=[0-9])\.(?=[0-9])", "\u0004")
+    kept = F.regexp_replace(F.regexp_replace(marked, r"(?<![\p{L}\p{N}])-(?=\.?[0-9])", "\u0003"), r"(?<![\p{L}.])\.(?=[0-9])", "\u0004")
     bare = F.regexp_replace(kept, r"[^\p{L}\p{N}\p{M}\x01-\x04]", "")
     parts = F.split(F.lower(bare), _PAIR)
     named = F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0)))
@@ -37,8 +37,7 @@ def pairs(text: Column, fields: tuple[str, ...] = FIELDS) -> Column:
 def fingerprint(items: Column) -> list[Column]:
     """Commutative hash of a multiset of strings, as four whole numbers that cannot overflow."""
     out = []
-    for seed in (0, 1):
-        h = F.transform(items, lambda x, s=seed: F.xxhash64(x, F.lit(s)))
+    for h in (F.transform(items, lambda x: F.xxhash64(x)), F.transform(items, lambda x: F.xxhash64(x, F.lit(1)))):
         out.append(F.aggregate(h, F.lit(0).cast("long"), lambda a, x: a + x.bitwiseAND(F.lit(0xFFFFFFFF))))
         out.append(F.aggregate(h, F.lit(0).cast("long"), lambda a, x: a + F.shiftrightunsigned(x, 32)))
     return out
