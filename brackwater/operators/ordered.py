@@ -43,7 +43,8 @@ def running_sum(df: DataFrame, keys: list[str], order: list[str], shard: str, va
     at = [*keys, shard]
     inside = Window.partitionBy(*at).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     along = Window.partitionBy(*[f"_k{i}" for i in range(len(keys))]).orderBy(f"_k{len(keys)}").rowsBetween(Window.unboundedPreceding, -1)
-    totals = df.groupBy(*at).agg(F.sum(value).alias("_total")).select(*_renamed(at), F.coalesce(F.sum("_total").over(along), F.lit(0)).alias("_before"))
+    totals = df.groupBy(*at).agg(F.sum(value).alias("_total")).select(*_renamed(at), "_total")
+    totals = totals.withColumn("_before", F.coalesce(F.sum("_total").over(along), F.lit(0))).drop("_total")
     local = df.withColumn("_sum", F.sum(value).over(inside))
     joined = local.join(totals, _match(local, totals, at))
     return joined.select(*[local[c] for c in df.columns], (F.col("_sum") + F.col("_before")).alias(out))

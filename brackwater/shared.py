@@ -66,32 +66,26 @@ def null_safe(a: DataFrame, b: DataFrame, keys: list[str]) -> Column:
     return cond
 
 
-def sharded_previous(df: DataFrame, keys: list[str], order: list[str], shard: str, payload: str, out: str) -> DataFrame:
+def sharded_previous(df: DataFrame, keys: list[str], order: list[str], shard: str, payload: str, out: str, ahead: bool = False) -> DataFrame:
     """Add `out`: the last non-null `payload` strictly before each row of its key by `order`; null if there is none.
 
-    `shard` must not decrease with `order` inside a key.  Rows of a shard are scanned in one task, keys are not.
+    With `ahead`, the first one strictly after it.  `shard` must not decrease with `order` inside a key.  Rows of a shard
+    are scanned in one task, keys are not.
     """
     marked = df.withColumn("_here", F.struct(*order))
-    inside = Window.partitionBy(*keys, shard).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    local = marked.withColumn("_prev", F.last(payload, ignorenulls=True).over(inside)).drop("_here")
-    last = (marked.where(F.col(payload).isNotNull()).groupBy(*keys, shard)
-            .agg(F.max_by(payload, "_here").alias("_last")))
-    # One row a shard and key: every shard that occurs, with or without a payload.
-    shards = (df.groupBy(*keys, shard).agg(F.lit(1).alias("_one"))
-              .select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate([*keys, shard])]))
+    pick = F.first if ahead else F.last
+    reach = (1, Window.unboundedFollowing) if ahead else (Window.unboundedPreceding, -1)
+    local = marked.withColumn("_prev", pick(payload, ignorenulls=True).over(Window.partitionBy(*keys, shard).orderBy(*order).rowsBetween(*reach))).drop("_here")
+    held = F.when(F.col(payload).isNotNull(), F.col("_here"))
+    edge = (F.min_by if ahead else F.max_by)(payload, held)
     names = [f"_k{i}" for i in range(len(keys) + 1)]
-    last = last.select(*[F.col(k).alias(f"_l{i}") for i, k in enumerate([*keys, shard])], "_last")
-    cond = F.lit(True)
-    for i in range(len(names)):
-        cond = cond & F.col(f"_k{i}").eqNullSafe(F.col(f"_l{i}"))
-    over = Window.partitionBy(*names[:-1]).orderBy(names[-1]).rowsBetween(Window.unboundedPreceding, -1)
-    carry = (shards.join(last, cond, "left").select(*names, F.last("_last", ignorenulls=True).over(over).alias("_carry"))
-             .where(F.col("_carry").isNotNull()))
+    ends = marked.groupBy(*keys, shard).agg(edge.alias("_edge")).select(*[F.col(k).alias(n) for n, k in zip(names, [*keys, shard], strict=True)], "_edge")
+    over = Window.partitionBy(*names[:-1]).orderBy(names[-1]).rowsBetween(*reach)
+    carry = ends.select(*names, pick("_edge", ignorenulls=True).over(over).alias("_carry")).where(F.col("_carry").isNotNull())
     cond = F.lit(True)
     for n, k in zip(names, [*keys, shard], strict=True):
         cond = cond & F.col(n).eqNullSafe(local[k])
-    return (local.join(carry, cond, "left")
-            .select(*[local[c] for c in df.columns], F.coalesce("_prev", "_carry").alias(out)))
+    return local.join(carry, cond, "left").select(*[local[c] for c in df.columns], F.coalesce("_prev", "_carry").alias(out))
 
 
 def empty_like(spark: SparkSession, schema: str | T.StructType) -> DataFrame:
