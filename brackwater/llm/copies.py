@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from brackwater.shared import written
+
 # The field names of a full record.
 FIELDS = ("subj", "dev", "ts", "p1", "p2", "p3", "p4", "p5", "p6", "temp", "humid", "event")
 _PAIR, _VALUE = "\u0001", "\u0002"
@@ -18,20 +20,24 @@ _WIDE = "０１２３４５６７８９－．−‐‑"
 _PLAIN = "0123456789-.---"
 
 
-def pairs(text: Column, fields: tuple[str, ...] = FIELDS) -> Column:
-    """Normalised 'field\\2value' pairs of a text, in the order of the text.
+def normalised(text: Column, fields: tuple[str, ...] = FIELDS) -> Column:
+    """A text as '\\1field\\2value' parts, in the order of the text, behind whatever stood before the first field.
 
     Of a value stay the letters, digits and combining marks in lower case, the sign of a number (a hyphen before a digit
-    and after nothing of the value) and its decimal point (a point before a digit and not after a letter).
+    and not after a letter or digit) and its decimal point (a point before a digit and not after a letter).
     """
     name = rf"(?i)(?<![\p{{L}}\p{{N}}])({'|'.join(fields)})[\p{{Pe}}\p{{Pf}}\"'>\s\p{{Z}}]*(?:->|=|:)"
     marked = F.regexp_replace(F.translate(text, _WIDE, _PLAIN), name, _PAIR + "$1" + _VALUE)
     # Sign and point become marks of their own, so that the removal of punctuation leaves them.
     kept = F.regexp_replace(F.regexp_replace(marked, r"(?<![\p{L}\p{N}])-(?=\.?[0-9])", "\u0003"), r"(?<![\p{L}.])\.(?=[0-9])", "\u0004")
-    bare = F.regexp_replace(kept, r"[^\p{L}\p{N}\p{M}\x01-\x04]", "")
-    parts = F.split(F.lower(bare), _PAIR)
+    return F.lower(F.regexp_replace(kept, r"[^\p{L}\p{N}\p{M}\x01-\x04]+", ""))
+
+
+def pairs(text: Column) -> Column:
+    """The 'field\\2value' pairs of a normalised text; a time has neither sign nor point."""
+    parts = F.split(text, _PAIR)
     named = F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0)))
-    return F.transform(named, lambda x: F.when(x.startswith("ts" + _VALUE), F.regexp_replace(x, "[\x03\x04]", "")).otherwise(x))
+    return F.transform(named, lambda x: F.when(x.startswith("ts" + _VALUE), F.translate(x, "\x03\x04", "")).otherwise(x))
 
 
 def fingerprint(items: Column) -> list[Column]:
@@ -46,9 +52,16 @@ def fingerprint(items: Column) -> list[Column]:
 _KEYS = ["_f0", "_f1", "_f2", "_f3"]
 
 
+def _once(x: Column) -> Column:
+    """Keep x as a column of its own, so that its expression is not copied into everything that uses it."""
+    return F.when(F.spark_partition_id() >= 0, x)
+
+
 def _records(df: DataFrame, key: str, text: str) -> DataFrame:
-    items = df.select(F.col(key).alias("_id"), pairs(F.col(text)).alias("_pairs")).where(F.col("_id").isNotNull() & (F.size("_pairs") > 0))
-    return items.select("_id", "_pairs", *[h.alias(k) for h, k in zip(fingerprint(F.col("_pairs")), _KEYS, strict=True)])
+    """(_id, _text, fingerprint) of every record that names a field, written once: grouping reads the fingerprints only."""
+    slim = df.select(F.col(key).alias("_id"), _once(normalised(F.col(text))).alias("_text")).withColumn("_p", _once(pairs(F.col("_text"))))
+    rows = slim.select("_id", "_text", *[h.alias(k) for h, k in zip(fingerprint(F.col("_p")), _KEYS, strict=True)])
+    return written(rows.where(F.col("_id").isNotNull() & F.contains("_text", F.lit(_PAIR))), "copies")
 
 
 def grouped(df: DataFrame, key: str = "record_id", text: str = "full_text") -> DataFrame:
@@ -58,15 +71,16 @@ def grouped(df: DataFrame, key: str = "record_id", text: str = "full_text") -> D
     the empty value; a field that a text does not name is not the same as an empty one; a repeated id is one record.
     """
     rows = _records(df, key, text)
-    groups = rows.groupBy(*_KEYS).agg(F.min(F.struct("_id", "_pairs")).alias("_kept"), F.count("*").alias("_n")).where("_n > 1")
+    groups = rows.groupBy(*_KEYS).agg(F.min(F.struct("_id", "_text")).alias("_kept"), F.count("*").alias("_n")).where("_n > 1")
     groups = groups.select(*[F.col(k).alias(f"{k}g") for k in _KEYS], "_kept")
     cond = F.lit(True)
     for k in _KEYS:
         cond = cond & (F.col(k) == F.col(f"{k}g"))
-    members = rows.join(groups, cond)
-    same = (F.size("_pairs") == F.size("_kept._pairs")) & (F.size(F.array_except(F.col("_pairs"), F.col("_kept._pairs"))) == 0)
+    members = rows.join(groups, cond).where(F.col("_id") != F.col("_kept._id"))
+    members = members.select("_id", F.col("_kept._id").alias("_first"), _once(pairs(F.col("_text"))).alias("_pairs"), _once(pairs(F.col("_kept._text"))).alias("_first_pairs"))
+    same = (F.size("_pairs") == F.size("_first_pairs")) & (F.size(F.array_except(F.col("_pairs"), F.col("_first_pairs"))) == 0)
     members = members.withColumn("_same", same)
-    copies = members.where(F.col("_same")).select(F.col("_kept._id").alias("kept_id"), F.col("_id").alias("copy_id"))
+    copies = members.where(F.col("_same")).select(F.col("_first").alias("kept_id"), F.col("_id").alias("copy_id"))
     others = members.where(~F.col("_same")).select("_id", F.array_sort("_pairs").alias("_fields"))
     first = others.groupBy("_fields").agg(F.min("_id").alias("kept_id"))
     again = others.join(first, "_fields").select("kept_id", F.col("_id").alias("copy_id"))
