@@ -7,7 +7,9 @@ proleptic Gregorian day formula, and zone rules are applied last.  Everything st
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import cache
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -53,6 +55,13 @@ def valid_date(y: Column, m: Column, d: Column) -> Column:
     return y.between(1, 9999) & m.between(1, 12) & (d >= 1) & (d <= length)
 
 
+@cache
+def zone_ids() -> list[str]:
+    """Names of the zones whose rules the engine has."""
+    jvm = SparkSession.active()._jvm
+    return sorted(jvm.java.lang.String.join(" ", jvm.java.time.ZoneId.getAvailableZoneIds()).split())
+
+
 def _once(x: Column) -> Column:
     """Keep x as a column of its own: a later filter must not copy its expression into itself."""
     return F.when(F.spark_partition_id() >= 0, x)
@@ -106,7 +115,7 @@ def instants(df: DataFrame, day_first: str, zone: str, chunk_key: str, year_hint
     ok = valid_date(y, m, d) & h.isNotNull() & (F.col("_mi") < 60) & (F.col("_s") < 60)
     local = F.when(ok, (((days_from_civil(y, m, d).cast("long") * 24 + h) * 60 + F.col("_mi")) * 60 + F.col("_s")) * 1_000_000 + F.col("_us"))
     # Zone rules: an unknown name must not raise, a repeated local time means the earlier instant, a skipped one none.
-    known = F.when(F.col(zone).rlike(r"^([A-Za-z]+(/[A-Za-z0-9_+-]+)+|UTC|GMT|Z)$"), F.col(zone))
+    known = F.when(F.col(zone).isin(zone_ids()), F.col(zone))
     df = df.withColumns({"_local": _once(local), "_known": _once(known)})
     stamp = F.timestamp_micros(F.col("_local"))
     df = df.withColumn("_at", _once(F.to_utc_timestamp(stamp, F.col("_known"))))

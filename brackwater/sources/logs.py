@@ -42,7 +42,7 @@ def _lines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def read_lines(spark: SparkSession, root: str) -> DataFrame:
-    """Every physical line of every file below root; a file is one task's work, files are spread."""
+    """Every physical line of every file below root; a file is one task's work, files are spread.  Empty files have no line."""
     return listing(spark, root, "path", "content").mapInPandas(_lines, LINES)
 
 
