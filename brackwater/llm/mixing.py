@@ -28,9 +28,9 @@ def targets(mix: DataFrame) -> DataFrame:
 
 def allocation(sizes: DataFrame, mix: DataFrame) -> DataFrame:
     """Per source of the mix: tokens it has, its quota, whole copies, tokens to draw and inclusion probability."""
-    total = sizes.agg(F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("total"))
+    total = sizes.agg(F.coalesce(F.sum("n_tokens"), F.lit(0))).scalar()
     has = sizes.groupBy("source").agg(F.sum("n_tokens").alias("has"))
-    plan = targets(mix).join(has, "source", "left").crossJoin(F.broadcast(total)).withColumn("has", F.coalesce("has", F.lit(0)))
+    plan = targets(mix).join(has, "source", "left").withColumn("total", total).withColumn("has", F.coalesce("has", F.lit(0)))
     quota = F.least(F.col("target_share") * F.col("total"), (F.col("max_repeats") * F.col("has")).cast("double"))
     plan = plan.withColumn("quota", quota).withColumn("whole", F.when(F.col("has") > 0, F.floor(F.col("quota") / F.col("has"))).otherwise(0))
     plan = plan.withColumn("rest", F.greatest(F.col("quota") - F.col("whole") * F.col("has"), F.lit(0.0)))
@@ -71,6 +71,6 @@ def shares(documents: DataFrame, mix: DataFrame, seed: int = 17, tokenizer_dir:
     got = mixture(documents, mix, seed, tokenizer_dir).groupBy("source").agg(
         F.sum(F.col("n_tokens") * F.col("copies")).alias("tokens"), F.sum("copies").alias("records"), F.max("copies").alias("most_copies"))
     table = targets(mix).join(got, "source", "left").select("source", "target_share", "max_repeats", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("tokens", "records", "most_copies")])
-    whole = table.agg(F.sum("tokens").alias("_all"))
-    return table.crossJoin(F.broadcast(whole)).select("source", "target_share", "max_repeats", "tokens", "records", "most_copies",
-                                                      F.when(F.col("_all") > 0, F.col("tokens") / F.col("_all")).otherwise(0.0).alias("real_share"))
+    whole = F.sum("tokens").over(Window.partitionBy())  # one row a source of the mix
+    return table.withColumn("_all", whole).select("source", "target_share", "max_repeats", "tokens", "records", "most_copies",
+                                               F.when(F.col("_all") > 0, F.col("tokens") / F.col("_all")).otherwise(0.0).alias("real_share"))
