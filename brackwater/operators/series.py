@@ -38,7 +38,7 @@ def top_values(df: DataFrame, keys: list[str], value: str, k: int) -> DataFrame:
 def binned_trend(df: DataFrame, x: str, y: str, bins: int) -> DataFrame:
     """(bin, n, median_y) over the distinct quantiles of x as edges; the last bin holds its right edge."""
     edges = df.agg(F.percentile(x, F.array(*[F.lit(i / bins) for i in range(bins + 1)])).alias("_e")).select(F.array_sort(F.array_distinct("_e")).alias("_e"))
-    placed = df.crossJoin(F.broadcast(edges))  # one row of at most bins + 1 edges
+    placed = df.withColumn("_e", edges.scalar())  # at most bins + 1 edges
     at = F.least(F.size(F.filter("_e", lambda e: e <= F.col(x))), F.size("_e") - 1)
     return placed.where(F.col(x).isNotNull()).groupBy(at.cast("long").alias("bin")).agg(F.count("*").alias("n"), F.percentile(y, 0.5).alias("median_y"))
 

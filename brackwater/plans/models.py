@@ -362,9 +362,9 @@ def _(spark, d):
 @query("L05_conditioned", f"with {_CTX}, m as (select coalesce(code, 'UNKNOWN') as state, avg(temperature) as m from ctx where subject_id <> 'U01' group by 1), t as (select avg(temperature) as m from ctx where subject_id <> 'U01') select state, round(case when state = 'UNKNOWN' then t.m else coalesce(m.m, t.m) end, 6) as prediction from (values ('ON'), ('OFF'), ('UNKNOWN'), ('NEVER')) v(state) left join m using (state), t")
 def _(spark, d):
     c = heater(spark, d).where("subject_id <> 'U01'")
-    whole = c.agg(F.avg("temperature").alias("_t"))
+    whole = c.agg(F.avg("temperature")).scalar()
     states = spark.createDataFrame([("ON",), ("OFF",), ("UNKNOWN",), ("NEVER",)], "state string")
-    by = states.join(c.groupBy("state").agg(F.avg("temperature").alias("_m")), "state", "left").crossJoin(F.broadcast(whole))  # four rows and one
+    by = states.join(c.groupBy("state").agg(F.avg("temperature").alias("_m")), "state", "left").withColumn("_t", whole)
     return by.select("state", F.round(F.when(F.col("state") == "UNKNOWN", F.col("_t")).otherwise(F.coalesce("_m", "_t")), 6).alias("prediction"))
 
 

@@ -265,6 +265,24 @@ def _(spark, d):
     return joins.in_range(s.select("subject_id", "ts_s"), r, ["subject_id"], "ts_s", "lo", "hi").groupBy(F.col("_file").alias("file_no")).agg(F.count("*").alias("n"))
 
 
+@query("L07_boosting")
+def _(spark, d):
+    """Boosted trees, fitted on two subjects and scored on the third."""
+    from brackwater.operators import fits
+
+    v = sensor(spark, d).where("temperature between 1 and 59").select("subject_id", *P, F.col("temperature").cast("double").alias("y"))
+    out = fits.boosted(v.where("subject_id <> 'U01'"), v.where("subject_id = 'U01'"), P, "y", rounds=5)
+    return out.groupBy("subject_id").agg(F.count("*").alias("n"), F.round(F.avg(F.abs(F.col("prediction") - F.col("y"))), 4).alias("mae"))
+
+
+@query("L11_black_box", f"with {SENSOR} select subject_id, round(avg(abs(p1 / 100.0 + p2 / 200.0 - temperature)), 6) as mae from s group by 1")
+def _(spark, d):
+    from brackwater.operators import fits
+
+    scored = fits.predict(sensor(spark, d).select("subject_id", "p1", "p2", "temperature"), (100.0, 200.0), lambda m, x: x["p1"] / m[0] + x["p2"] / m[1], ["p1", "p2"])
+    return scored.groupBy("subject_id").agg(F.round(F.avg(F.abs(F.col("prediction") - F.col("temperature"))), 6).alias("mae"))
+
+
 def queries() -> dict[str, Query]:
     return dict(Q)
 

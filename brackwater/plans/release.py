@@ -133,8 +133,7 @@ def _(spark, d):
 def _(spark, d):
     w = table(spark, d, "windows").select("window_id", "temperature", "labelled")
     a, b = w.select("window_id", "temperature"), w.where("labelled").select("window_id", "temperature")
-    count = lambda x, n: x.agg(F.count("*").alias(n))
-    return count(a.exceptAll(b), "only_a").join(count(b.exceptAll(a), "only_b"), how="cross")  # two single rows
+    return a.exceptAll(b).agg(F.count("*").alias("only_a")).withColumn("only_b", b.exceptAll(a).agg(F.count("*")).scalar())
 
 
 _CELLS = "select window_id, 'temperature' as \"column\", temperature as v from {t} union all select window_id, 'humidity', humidity from {t}"

@@ -169,9 +169,9 @@ _COV = "select {k}, ts_s as lo, ts_s + least(coalesce(lead(ts_s) over (partition
 @query("F15_coverage_overlap", f"with {PAIR}, ia as ({_COV.format(k='subject_id', t='a')}), ib as ({_COV.format(k='subject_id', t='b')}) select sum(least(ia.hi, ib.hi) - greatest(ia.lo, ib.lo))::bigint as seconds_both, (select sum(hi - lo) from ia)::bigint as seconds_a, (select sum(hi - lo) from ib)::bigint as seconds_b from ia join ib on ia.lo < ib.hi and ib.lo < ia.hi")
 def _(spark, d):
     a, b = (joins.covered(x, ["subject_id"], ORD, "ts_s", "day", 5) for x in pair(spark, d))
-    own = lambda x, n: x.agg(F.sum(F.col("hi") - F.col("lo")).alias(n))
+    own = lambda x: x.agg(F.sum(F.col("hi") - F.col("lo"))).scalar()
     both = joins.overlap(a, b, ["subject_id"]).agg(F.sum("seconds").alias("seconds_both"))
-    return both.join(own(a, "seconds_a"), how="cross").join(own(b, "seconds_b"), how="cross")  # three single rows
+    return both.withColumn("seconds_a", own(a)).withColumn("seconds_b", own(b))
 
 
 @query("F16_merged_hours", f"with {SENSOR}, r as (select subject_id, file_no, min(ts_s) as lo, max(ts_s) + 600 as hi from s group by all), m as (select subject_id, lo, hi, max(hi) over (partition by subject_id order by lo, hi rows between unbounded preceding and 1 preceding) as seen from r) select subject_id, sum(greatest(hi - greatest(lo, coalesce(seen, lo)), 0))::bigint as seconds from m group by 1")

@@ -62,8 +62,8 @@ def resolve_sources(files: DataFrame, prefixes: DataFrame, path: str, prefix: st
 
     Prefixes are configured folders, a short list; a path is exploded into as many candidates as there are lengths.
     """
-    lengths = prefixes.select(F.length(prefix).alias("_n")).distinct().agg(F.collect_list("_n").alias("_lengths"))
-    cut = files.crossJoin(F.broadcast(lengths)).withColumn("_n", F.explode("_lengths")).where(F.col("_n") <= F.length(path))  # one row
+    lengths = prefixes.select(F.length(prefix).alias("_n")).distinct().agg(F.collect_list("_n")).scalar()
+    cut = files.withColumn("_n", F.explode(lengths)).where(F.col("_n") <= F.length(path))
     cut = cut.withColumn("_p", F.substring(F.col(path), F.lit(1), F.col("_n")))
     met = cut.join(prefixes.select(F.col(prefix).alias("_p"), F.col(source).alias("_s")).distinct(), "_p")
     w = Window.partitionBy(path).orderBy(F.desc("_n"), "_s")

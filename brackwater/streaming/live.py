@@ -20,21 +20,28 @@ def flagged(rows: DataFrame) -> DataFrame:
     return rows.withColumn("target_flag", quality.target_quality(F.col("temp"), F.col("humid"))).withColumn("pressure_flag", quality.pressure_quality(p, F.coalesce(*p).isNotNull()))
 
 
+def _timed(rows: DataFrame, late: str) -> DataFrame:
+    """Rows with their event time `at` and its watermark; a watermark that is there already stays."""
+    if "at" in rows.columns:
+        return rows
+    return rows.withColumn("at", F.col("ts").cast("timestamp")).where("at is not null").withWatermark("at", late)
+
+
 def without_copies(rows: DataFrame, late: str = "1 hour") -> DataFrame:
     """Rows sent again under another row id, dropped as long as the watermark remembers the first."""
-    return rows.withColumn("at", F.col("ts").cast("timestamp")).withWatermark("at", late).dropDuplicatesWithinWatermark(["subject_id", "device_id", "at"])
+    return _timed(rows, late).dropDuplicatesWithinWatermark(["subject_id", "device_id", "at"])
 
 
 def sessions(rows: DataFrame, gap: str = "1800 seconds", late: str = "1 hour") -> DataFrame:
     """Sessions of each series once the watermark has passed them: first and last time and number of rows."""
-    timed = rows.withColumn("at", F.col("ts").cast("timestamp")).where("at is not null").withWatermark("at", late)
+    timed = _timed(rows, late)
     g = timed.groupBy("subject_id", "device_id", F.session_window("at", gap)).agg(F.min("at").alias("first_at"), F.max("at").alias("last_at"), F.count("*").alias("n_rows"))
     return g.select("subject_id", "device_id", F.unix_seconds("first_at").alias("start_s"), F.unix_seconds("last_at").alias("end_s"), "n_rows")
 
 
 def binned(rows: DataFrame, bin_s: int, late: str = "1 hour") -> DataFrame:
     """Means of each series and bin."""
-    timed = rows.withColumn("at", F.col("ts").cast("timestamp")).where("at is not null").withWatermark("at", late)
+    timed = _timed(rows, late)
     g = timed.groupBy("subject_id", "device_id", F.window("at", f"{bin_s} seconds")).agg(F.count("*").alias("n_rows"), F.avg("temp").alias("temp"), F.avg("humid").alias("humid"))
     return g.select("subject_id", "device_id", F.unix_seconds("window.start").alias("bin_start_s"), "n_rows", "temp", "humid")
 
