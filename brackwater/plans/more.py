@@ -265,6 +265,30 @@ def _(spark, d):
     return joins.in_range(s.select("subject_id", "ts_s"), r, ["subject_id"], "ts_s", "lo", "hi").groupBy(F.col("_file").alias("file_no")).agg(F.count("*").alias("n"))
 
 
+@query("I04_boundary_key", f"with {PLACED} select md5(concat_ws('|', subject_id, device_id, segment)) as boundary, count(*) as n from placed group by 1")
+def _(spark, d):
+    return placed(spark, d).groupBy(F.md5(F.concat_ws("|", "subject_id", "device_id", F.col("segment").cast("string"))).alias("boundary")).agg(F.count("*").alias("n"))
+
+
+@query("I16_release_view", f"with {WIN} select f.subject_id as fold, case when win.subject_id = f.subject_id then 'test' else 'train' end as part, sum(steps[1][3])::bigint as first_p1, sum(steps[8][8])::bigint as last_p6 from win, (select distinct subject_id from s) f group by 1, 2")
+def _(spark, d):
+    wide = made(spark, d).select("subject_id", *[F.col("steps")[i]["p"][c].alias(f"s{i}_p{c + 1}") for i in range(8) for c in range(6)])
+    again = wide.select("subject_id", F.array(*[F.array(*[F.col(f"s{i}_p{c + 1}") for c in range(6)]) for i in range(8)]).alias("x"))
+    return splits.held_out(again, "subject_id").groupBy("fold", "part").agg(F.sum(F.col("x")[0][0]).alias("first_p1"), F.sum(F.col("x")[7][5]).alias("last_p6"))
+
+
+@query("I17_external_windows", f"with {WIN} select case when subject_id = 'U03' then 'external' else 'source' end as origin, count(*) as n, min(t0) as first_t0 from win group by 1")
+def _(spark, d):
+    w = made(spark, d)
+    parts = [w.where(c).withColumn("origin", F.lit(n)) for n, c in (("external", "subject_id = 'U03'"), ("source", "subject_id <> 'U03'"))]
+    return parts[0].unionByName(parts[1]).groupBy("origin").agg(F.count("*").alias("n"), F.min("t0").alias("first_t0"))
+
+
+@query("K09_external_guard", f"with {SENSOR} select count(*) filter (where subject_id = 'U03') as external_rows, count(distinct subject_id) filter (where subject_id <> 'U03') as sources from s")
+def _(spark, d):
+    return sensor(spark, d).agg(F.count_if(F.col("subject_id") == "U03").alias("external_rows"), F.count_distinct(F.when(F.col("subject_id") != "U03", F.col("subject_id"))).alias("sources"))
+
+
 @query("L07_boosting")
 def _(spark, d):
     """Boosted trees, fitted on two subjects and scored on the third."""
