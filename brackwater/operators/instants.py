@@ -12,6 +12,8 @@ from functools import cache
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from brackwater.shared import spread
+
 
 # English month names, and zone names with their usual offsets from UTC in minutes.
 MONTHS = "jan feb mar apr may jun jul aug sep oct nov dec".split()
@@ -132,6 +134,6 @@ def found(rows: DataFrame, files: DataFrame) -> DataFrame:
     """(row_id, utc_us) of every row whose time names one instant; a file listed twice counts once."""
     one = files.where(F.col("file_id").isNotNull()).groupBy("file_id").agg(F.min(F.struct("uploaded_at", "log_zone", "date_order", "year_hint")).alias("_f"))
     one = one.select(F.col("file_id").alias("_file"), "_f.log_zone", "_f.date_order", "_f.year_hint")
-    slim = components(rows.select("row_id", "file_id", "ts_raw", "chunk_key"), "ts_raw").drop("ts_raw")
+    slim = components(spread(rows.select("row_id", "file_id", "ts_raw", "chunk_key")), "ts_raw").drop("ts_raw")
     with_file = slim.join(one, slim["file_id"] == one["_file"], "left")
     return instants(with_file, "date_order", "log_zone", "chunk_key", "year_hint", "utc_us").where(F.col("utc_us").isNotNull()).select("row_id", "utc_us")

@@ -40,6 +40,12 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows over at least as many partitions as there are cores, where each row is much work; large inputs stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def epoch_us(ts: Column) -> Column:
     """Microseconds of a zone-less time counted as if it were UTC, whatever the session's zone is."""
     session = SparkSession.getActiveSession()
