@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from brackwater.shared import written
+from brackwater.shared import spread, written
 
 # The field names of a full record.
 FIELDS = ("subj", "dev", "ts", "p1", "p2", "p3", "p4", "p5", "p6", "temp", "humid", "event")
@@ -59,7 +59,7 @@ def _once(x: Column) -> Column:
 
 def _records(df: DataFrame, key: str, text: str) -> DataFrame:
     """(_id, _text, fingerprint) of every record that names a field, written once: grouping reads the fingerprints only."""
-    slim = df.select(F.col(key).alias("_id"), _once(normalised(F.col(text))).alias("_text")).withColumn("_p", _once(pairs(F.col("_text"))))
+    slim = spread(df.select(F.col(key).alias(key), F.col(text).alias(text))).select(F.col(key).alias("_id"), _once(normalised(F.col(text))).alias("_text")).withColumn("_p", _once(pairs(F.col("_text"))))
     rows = slim.select("_id", "_text", *[h.alias(k) for h, k in zip(fingerprint(F.col("_p")), _KEYS, strict=True)])
     return written(rows.where(F.col("_id").isNotNull() & F.contains("_text", F.lit(_PAIR))), "copies")
 

@@ -18,6 +18,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from brackwater.shared import spread
+
 SPAN, SEED = 200, 120
 BLOCK = 400_000  # code points that are hashed at once; longer texts go in overlapping blocks
 _SEED_BASE, _SPAN_BASE = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
@@ -130,7 +132,8 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def shared_windows(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, at): every place of a text whose next SPAN code points occur in the text of another document."""
-    texts = documents.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).where(F.col("doc_id").isNotNull() & (F.char_length("text") >= SPAN))
+    slim = spread(documents.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")))
+    texts = slim.where(F.col("doc_id").isNotNull() & (F.char_length("text") >= SPAN))
     seeds = texts.mapInArrow(_seeds, "seed bigint, doc_id bigint")
     ends = [F.min("doc_id").alias("_least"), F.max("doc_id").alias("_most")]
     common = seeds.groupBy("seed").agg(*ends).where("_least < _most").select(F.col("seed").alias("_seed"))

@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from brackwater.shared import spread
+
 TOKENIZER_DIR = "/opt/tokenizers"
 VOCABULARY = "byte_bpe_50k.json"
 # Fixed value: the public pre-split pattern of byte-level BPE.
@@ -164,7 +166,7 @@ def ids(documents: DataFrame, tokenizer_dir: str = TOKENIZER_DIR, key: str = "do
                 yield pa.RecordBatch.from_arrays([part.column(0), lists], names=["doc_id", "ids"])
 
     slim = documents.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return slim.mapInArrow(encode, "doc_id bigint, ids array<int>")
+    return spread(slim).mapInArrow(encode, "doc_id bigint, ids array<int>")
 
 
 def counts(documents: DataFrame, columns: list[str], tokenizer_dir: str = TOKENIZER_DIR, text: str = "text") -> DataFrame:
@@ -180,7 +182,7 @@ def counts(documents: DataFrame, columns: list[str], tokenizer_dir: str = TOKENI
                 _, ends = _encoded(path, part.column(part.num_columns - 1))
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(np.diff(ends))], names=[*columns, "n_tokens"])
 
-    return slim.mapInArrow(count, schema)
+    return spread(slim).mapInArrow(count, schema)
 
 
 def decoded(tokens: DataFrame, tokenizer_dir: str = TOKENIZER_DIR) -> DataFrame:
