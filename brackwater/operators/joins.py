@@ -10,10 +10,10 @@ from brackwater.shared import sharded_previous
 SHARD_S = 86_400
 
 
-def _union(targets: DataFrame, events: DataFrame, keys: list[str], time: str, values: list[str], tie: str | None) -> DataFrame:
+def _union(targets: DataFrame, events: DataFrame, keys: list[str], time: str, values: list[str], tie: str | None, side: int = 0) -> DataFrame:
     t = targets.withColumns({"_t": F.col(time), "_side": F.lit(1), "_tie": F.lit(None).cast("long"), "_ev": F.lit(None)})
     struct = F.struct(F.col(time).alias("t"), *[F.col(v).alias(v) for v in values])
-    e = events.select(*keys, F.col(time).alias("_t"), F.lit(0).alias("_side"), (F.col(tie).cast("long") if tie else F.lit(0).cast("long")).alias("_tie"), struct.alias("_ev"))
+    e = events.select(*keys, F.col(time).alias("_t"), F.lit(side).alias("_side"), (F.col(tie).cast("long") if tie else F.lit(0).cast("long")).alias("_tie"), struct.alias("_ev"))
     t = t.withColumn("_ev", F.lit(None).cast(e.schema["_ev"].dataType))
     both = t.unionByName(e, allowMissingColumns=True)
     return both.withColumn("_shard", F.expr(f"_t div {SHARD_S}"))
@@ -43,12 +43,29 @@ def nearest(targets: DataFrame, others: DataFrame, keys: list[str], time: str, v
     return rows.select(*targets.columns, F.when(F.abs(F.col(time) - F.col("_near.t")) <= within_s, F.col("_near")).alias("near"))
 
 
-def covered(df: DataFrame, keys: list[str], order: list[str], time: str, shard: str, cap_s: int) -> DataFrame:
-    """(keys, lo, hi): intervals covered by rows, a row covering up to the next one but at most cap_s seconds."""
+def adjacent(targets: DataFrame, others: DataFrame, keys: list[str], time: str, values: list[str], tie: str) -> DataFrame:
+    """Add structs `before` (the last other row of the key before each target) and `after` (the first at or after it)."""
+    both = _union(targets, others, keys, time, values, tie, side=2)
+    both = sharded_previous(both, keys, ["_t", "_side", "_tie"], "_shard", "_ev", "before")
+    both = sharded_previous(both, keys, ["_t", "_side", "_tie"], "_shard", "_ev", "after", ahead=True)
+    return both.where("_side = 1").select(*targets.columns, "before", "after")
+
+
+def coincidence(times: DataFrame, events: DataFrame, coverage: DataFrame, keys: list[str], time: str, within_s: int) -> DataFrame:
+    """The times that lie in the coverage [lo, hi) of their key, with `hit`: an event of the key is at most within_s away."""
+    inside = in_range(times, coverage.select(*keys, "lo", (F.col("hi") - 1).alias("_end")), keys, time, "lo", "_end").select(*times.columns)
+    return nearest(inside, events, keys, time, [], within_s).withColumn("hit", F.col("near").isNotNull().cast("int")).drop("near")
+
+
+def covered(df: DataFrame, keys: list[str], order: list[str], time: str, shard: str, cap_s: int, last_s: int | None = None) -> DataFrame:
+    """(keys, lo, hi): intervals covered by rows, a row covering up to the next one but at most cap_s seconds.
+
+    The last row of a key covers last_s seconds, cap_s if not given.
+    """
     from brackwater.operators.ordered import islands, neighbour
 
     rows = neighbour(df.select(*dict.fromkeys([*keys, *order, time, shard])), keys, order, shard, [time], "_next", ahead=True)
-    rows = rows.withColumn("_hi", F.col(time) + F.least(F.coalesce(F.col("_next")[time] - F.col(time), F.lit(cap_s)), F.lit(cap_s))).drop("_next")
+    rows = rows.withColumn("_hi", F.col(time) + F.least(F.coalesce(F.col("_next")[time] - F.col(time), F.lit(cap_s if last_s is None else last_s)), F.lit(cap_s))).drop("_next")
     placed = islands(rows, keys, order, shard, ["_hi"], lambda prev: F.col(time) > prev("_hi"), "_i")
     return placed.groupBy(*keys, "_i").agg(F.min(time).alias("lo"), F.max("_hi").alias("hi")).drop("_i")
 

@@ -43,6 +43,21 @@ def binned_trend(df: DataFrame, x: str, y: str, bins: int) -> DataFrame:
     return placed.where(F.col(x).isNotNull()).groupBy(at.cast("long").alias("bin")).agg(F.count("*").alias("n"), F.percentile(y, 0.5).alias("median_y"))
 
 
+def movements(df: DataFrame, keys: list[str], order: list[str], shard: str, time: str, channels: list[str], share: float, max_step_s: int = 5) -> DataFrame:
+    """Rows whose channels change from the row before, at most max_step_s ago, by at least the `share` quantile of the
+    changes of their key where any channel is loaded."""
+    rows = neighbour(df, keys, order, shard, [time, *channels], "_b")
+    change, load = F.lit(0), F.lit(0)
+    for c in channels:
+        change, load = change + F.abs(F.col(c) - F.col("_b")[c]), load + F.col(c)
+    rows = rows.withColumns({"_change": F.when(F.col(time) - F.col("_b")[time] <= max_step_s, change), "_load": load}).drop("_b")
+    least = rows.groupBy(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)]).agg(F.percentile(F.when(F.col("_load") > 0, F.col("_change")), share).alias("_least"))
+    same = F.lit(True)
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    return rows.join(least, same).where(F.coalesce("_change", F.lit(0)) >= F.col("_least")).select(*df.columns)
+
+
 def reconcile(a: DataFrame, b: DataFrame, keys: list[str], order: list[str], values: list[str]) -> DataFrame:
     """Category of every key: csv_only, txt_only, count_mismatch, value_mismatch or included, values paired by place."""
     packed = lambda x, n: x.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct(*order, *values))), lambda r: F.struct(*[r[v] for v in values])).alias(n))

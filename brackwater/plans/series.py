@@ -12,7 +12,7 @@ from brackwater.functions import quality, scalars
 from brackwater.operators import joins, series
 from brackwater.operators.ordered import islands, neighbour
 from brackwater.plans.views import PLACED, SENSOR, P, placed, sensor
-from brackwater.shared import table
+from brackwater.shared import table, written
 
 Query = Callable[[SparkSession, str], DataFrame]
 Q: dict[str, Query] = {}
@@ -119,6 +119,75 @@ def _(spark, d):
     return n.groupBy("shift").agg(F.count("*").alias("n"), F.sum(F.col("near.temperature") - F.col("t0")).alias("change"))
 
 
+# Whole forms of F06-F08: the movement events, coverage and lift of the reference for every subject with two devices, and validity by the temperature.
+_MOVED = SENSOR + """, one as (select subject_id, device_id, ts_s, min(row_id) as row_id, arg_min(p1, row_id) as p1, arg_min(p2, row_id) as p2, arg_min(p3, row_id) as p3, arg_min(p4, row_id) as p4, arg_min(p5, row_id) as p5, arg_min(p6, row_id) as p6 from s group by all),
+ch as (select *, p1 + p2 + p3 + p4 + p5 + p6 as load, case when ts_s - lag(ts_s) over w <= 5 then abs(p1 - lag(p1) over w) + abs(p2 - lag(p2) over w) + abs(p3 - lag(p3) over w) + abs(p4 - lag(p4) over w) + abs(p5 - lag(p5) over w) + abs(p6 - lag(p6) over w) end as change
+  from one window w as (partition by subject_id, device_id order by ts_s)),
+th as (select subject_id, device_id, quantile_cont(change, 0.95) filter (where load > 0) as least from ch group by all),
+ev as (select subject_id, device_id, ts_s from ch join th using (subject_id, device_id) where coalesce(change, 0) >= least),
+cov as (select subject_id, device_id, ts_s as lo, ts_s + least(coalesce(lead(ts_s) over (partition by subject_id, device_id order by ts_s) - ts_s, 1), 60) as hi from one),
+dev as (select distinct subject_id, device_id from one), pr as (select a.subject_id, a.device_id as device_a, b.device_id as device_b from dev a join dev b on a.subject_id = b.subject_id and a.device_id <> b.device_id)"""
+
+
+def _hits(shifts: str, within: int) -> str:
+    return f"""c as (select pr.*, k.shift, ev.ts_s + k.shift as t from pr join ev on ev.subject_id = pr.subject_id and ev.device_id = device_a cross join {shifts}),
+i as (select c.* from c where exists (select 1 from cov where cov.subject_id = c.subject_id and cov.device_id = device_b and c.t >= lo and c.t < hi) and exists (select 1 from ev where ev.subject_id = c.subject_id and ev.device_id = device_b)),
+h as (select i.*, exists (select 1 from ev where ev.subject_id = i.subject_id and ev.device_id = device_b and ev.ts_s between i.t - {within} and i.t + {within})::int as hit from i)"""
+
+
+def moved(spark, d, shifts, within: int) -> tuple[DataFrame, DataFrame]:
+    """Ordered device pairs of every subject, and the shifted movement events of a in the coverage of b with their hits."""
+    one = sensor(spark, d).groupBy(*ST, "ts_s", "day").agg(F.min("row_id").alias("row_id"), F.min_by(F.struct(*P), "row_id").alias("_p")).select(*ST, "ts_s", "day", "row_id", "_p.*")
+    one = written(one, "moments")
+    ev = written(series.movements(one, ST, ORD, "day", "ts_s", P, 0.95).select(*ST, "ts_s"), "movements")
+    other = lambda x: x.withColumnRenamed("device_id", "device_b")
+    dev = one.select(*ST).distinct()
+    pairs = dev.withColumnRenamed("device_id", "device_a").join(other(dev), "subject_id").where("device_a <> device_b")
+    heard = pairs.join(other(ev).select("subject_id", "device_b").distinct(), ["subject_id", "device_b"], "left_semi")
+    copies = heard.join(ev.withColumnRenamed("device_id", "device_a"), ["subject_id", "device_a"]).withColumn("shift", F.explode(shifts)).withColumn("ts_s", F.col("ts_s") + F.col("shift"))
+    coverage = other(joins.covered(one, ST, ORD, "ts_s", "day", 60, last_s=1))
+    return pairs, joins.coincidence(copies, other(ev), coverage, ["subject_id", "device_b"], "ts_s", within)
+
+
+@query("F06_event_coincidence", f"""with {_MOVED}, {_hits("(values (-86400), (0), (86400)) k(shift)", 10)},
+g as (select subject_id, device_a, device_b, count(*) filter (where shift = 0) as n_events, avg(hit) filter (where shift = 0) as o, count(*) filter (where shift <> 0) as n_control, avg(hit) filter (where shift <> 0) as k from h group by all)
+select subject_id, device_a, device_b, coalesce(n_events, 0) as n_events, round(o, 6) as observed, coalesce(n_control, 0) as n_control, round(k, 6) as control, round(o / nullif(k, 0), 6) as lift from pr left join g using (subject_id, device_a, device_b)""")
+def _(spark, d):
+    pairs, h = moved(spark, d, F.array(*[F.lit(x) for x in (-86_400, 0, 86_400)]), 10)
+    now = F.col("shift") == 0
+    g = h.groupBy("subject_id", "device_a", "device_b").agg(F.count_if(now).alias("n_events"), F.avg(F.when(now, F.col("hit"))).alias("_o"), F.count_if(~now).alias("n_control"), F.avg(F.when(~now, F.col("hit"))).alias("_k"))
+    n = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    return pairs.join(g, ["subject_id", "device_a", "device_b"], "left").select("subject_id", "device_a", "device_b", n("n_events"), F.round("_o", 6).alias("observed"), n("n_control"), F.round("_k", 6).alias("control"), F.round(F.try_divide("_o", "_k"), 6).alias("lift"))
+
+
+@query("F07_covered_lag_scan", f"""with {_MOVED}, {_hits("(select unnest(generate_series(-20, 20, 10)) as shift) k", 5)},
+g as (select subject_id, device_a, device_b, shift as lag, count(*) as n_events, round(avg(hit), 6) as share from h group by all)
+select subject_id, device_a, device_b, lag, coalesce(n_events, 0) as n_events, share from (select pr.*, l.lag from pr, (select unnest(generate_series(-20, 20, 10)) as lag) l) left join g using (subject_id, device_a, device_b, lag)""")
+def _(spark, d):
+    lags = F.sequence(F.lit(-20).cast("long"), F.lit(20).cast("long"), F.lit(10).cast("long"))
+    pairs, h = moved(spark, d, lags, 5)
+    keys = ["subject_id", "device_a", "device_b", "lag"]
+    g = h.withColumnRenamed("shift", "lag").groupBy(*keys).agg(F.count("*").alias("n_events"), F.round(F.avg("hit"), 6).alias("share"))
+    return pairs.withColumn("lag", F.explode(lags)).join(g, keys, "left").select(*keys, F.coalesce("n_events", F.lit(0)).alias("n_events"), "share")
+
+
+@query("F08_valid_trajectory", f"""with {SENSOR}, e as (select * from s where event_raw like 'AHON%' and temperature between 1 and 59), o as (select unnest([-10, 10, 20]) as shift),
+c as (select e.row_id, shift, e.ts_s + shift as t, any_value(e.temperature) as t0, arg_max({{'t': x.ts_s, 'y': x.temperature}}, (x.ts_s, x.row_id)) filter (where x.ts_s < e.ts_s + shift) as b, arg_min({{'t': x.ts_s, 'y': x.temperature}}, (x.ts_s, x.row_id)) filter (where x.ts_s >= e.ts_s + shift) as a
+  from e cross join o left join s x on x.subject_id = e.subject_id and x.device_id = e.device_id and x.ts_s between e.ts_s + shift - 3 and e.ts_s + shift + 3 group by e.row_id, shift, e.ts_s),
+v as (select *, case when b.y between 1 and 59 then t - b.t end as db, case when a.y between 1 and 59 then a.t - t end as da from c)
+select shift, count(*) as n_events, count(coalesce(db, da)) as n, sum(case when da is null or db <= da then b.y else a.y end - t0) filter (where coalesce(db, da) is not null)::bigint as change from v group by shift""")
+def _(spark, d):
+    s = sensor(spark, d)
+    good = lambda c: c.between(1, 59)
+    e = s.where(F.col("event_raw").startswith("AHON") & good(F.col("temperature")))
+    e = e.select(*ST, "row_id", F.explode(F.array(*[F.lit(x) for x in (-10, 10, 20)])).alias("shift"), F.col("temperature").alias("t0"), "ts_s").withColumn("ts_s", F.col("ts_s") + F.col("shift"))
+    n = joins.adjacent(e, s, ST, "ts_s", ["temperature"], "row_id")
+    away = lambda c: F.when(good(F.col(f"{c}.temperature")) & (F.abs(F.col(f"{c}.t") - F.col("ts_s")) <= 3), F.abs(F.col(f"{c}.t") - F.col("ts_s")))
+    n = n.withColumns({"_b": away("before"), "_a": away("after")})
+    y = F.when(F.col("_b").isNotNull() & (F.col("_a").isNull() | (F.col("_b") <= F.col("_a"))), F.col("before.temperature")).when(F.col("_a").isNotNull(), F.col("after.temperature"))
+    return n.groupBy("shift").agg(F.count("*").alias("n_events"), F.count(y).alias("n"), F.sum(y - F.col("t0")).alias("change"))
+
+
 @query("F09_neighbour_valid", f"""with {SENSOR}, v as (select *, case when temperature between 1 and 59 then temperature end as good, case when temperature between 1 and 59 then ts_s end as good_s from s)
 select row_id, before_value, before_age, after_value, after_age from (select row_id, temperature, last_value(good ignore nulls) over p as before_value, ts_s - last_value(good_s ignore nulls) over p as before_age, first_value(good ignore nulls) over f as after_value, first_value(good_s ignore nulls) over f - ts_s as after_age
   from v window p as (partition by subject_id, device_id order by ts_s, row_id rows between unbounded preceding and 1 preceding), f as (partition by subject_id, device_id order by ts_s, row_id rows between 1 following and unbounded following))
