@@ -1,9 +1,12 @@
 """Implausible spikes in measurements: impossible readings, spikes and stuck runs, judged per series and channel.
 
-Model of a channel: a level that may shift plus autoregressive noise in difference form.  The usual scatter is the robust
-scale of the first differences (1.4826 MAD / sqrt 2), the level on either side is a running median, and a reading is an
-additive outlier if it departs to one side from the level before and after it; a level shift departs from one of them
-only.  Outliers are removed and the levels taken again (iterated), so that they do not shield each other.
+Model of a channel: a level that may shift plus noise.  The usual scatter is the robust scale of the first differences
+(1.4826 MAD / sqrt 2); no autoregression is fitted, the differences are its residuals with the coefficient set to one.
+Level shift test: differences over the threshold part the readings into stretches, and a stretch of more than LONGEST
+readings carries a level.  Additive outlier test: a shorter stretch that departs to one side from the levels carried before
+and after it is left out of the running medians, so that outliers close together do not shield each other.  A reading is
+then a spike if it departs to one side from the median level before and after it; the medians are taken again without the
+spikes until nothing changes.
 
 Execution: one shuffle brings each (series, time shard) together in time order; numpy works on whole buffers of complete
 shards, never per reading.  A shard yields its findings that need no neighbour, a histogram of differences, and its
@@ -32,7 +35,8 @@ LIMITS = {"temp": (-10.0, 60.0), "humid": (0.0, 100.0), **{f"p{i}": (0.0, 4095.0
 FLOOR = {"temp": 1.5, "humid": 3.0, **{f"p{i}": 30.0 for i in range(1, 7)}}
 FACTOR, LONGEST, STUCK, USUAL_CHANGE = 12.0, 3, 40, 0.5
 SHARD_S = 4 * DAY_S
-EDGE, KEEP = 16, 56  # readings of a shard's ends that are judged across borders; readings kept there for that
+REACH, ROUNDS = 24, 8  # readings between a short stretch and the level carried on either side; rounds at most
+EDGE, KEEP = 40, 112  # readings of a shard's ends that are judged across borders; readings kept there for that
 HOT_ROWS, HOT_KEYS, SKETCH = 20_000, 64, 4_096
 BUFFER_ROWS = 150_000
 _OCTAVE, _LOW, _BINS = 16, -8, 16 * 22  # histogram of |difference|: 16 bins an octave from 2^-8 to 2^14
@@ -79,19 +83,48 @@ def _sides(x: np.ndarray, seg: np.ndarray, bad: np.ndarray) -> tuple[np.ndarray,
     return before, after
 
 
+def shielding(x: np.ndarray, seg: np.ndarray, limit: np.ndarray) -> np.ndarray:
+    """Readings of short stretches that depart to one side from the levels carried before and after them, at most REACH away."""
+    bad = np.zeros(len(x), bool)
+    first = np.flatnonzero(np.r_[True, (np.abs(np.diff(x)) > limit[1:]) | (np.diff(seg) != 0)])
+    stop = np.r_[first[1:], len(x)]
+    carries = stop - first > LONGEST
+    short = np.flatnonzero(~carries)
+    if not len(short) or not carries.any():
+        return bad
+    place = np.arange(len(first))
+    left = np.maximum.accumulate(np.where(carries, place, -1))[short]
+    right = np.minimum.accumulate(np.where(carries, place, len(first))[::-1])[::-1][short]
+    ok = (left >= 0) & (right < len(first))
+    short, left, right = short[ok], left[ok], right[ok]
+    ok = (seg[first[left]] == seg[first[short]]) & (seg[first[right]] == seg[first[short]]) & (first[short] - stop[left] <= REACH) & (first[right] - stop[short] <= REACH)
+    short, left, right = short[ok], left[ok], right[ok]
+    if not len(short):
+        return bad
+    m = median5(x)
+    four = lambda at: np.median(x[at[:, None] + np.arange(LONGEST + 1)], axis=1)
+    size = stop - first
+    before = np.where(size[left] > 4, m[stop[left] - 3], four(stop[left] - LONGEST - 1))
+    after = np.where(size[right] > 4, m[np.minimum(first[right] + 2, len(x) - 1)], four(first[right]))
+    low, high = np.minimum.reduceat(x, first)[short], np.maximum.reduceat(x, first)[short]
+    out = np.maximum(low - np.maximum(before, after), np.minimum(before, after) - high) > limit[first[short]]
+    bad[_spread(first[short[out]], size[short[out]])] = True
+    return bad
+
+
 def excursions(x: np.ndarray, seg: np.ndarray, floor: float, guess: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(first, length, inner, outer) of every excursion of at most LONGEST readings that departs by more than `floor`.
 
     inner is the least departure of its readings from both levels, outer the greatest departure of the two readings next
     to it to the same side: the excursion counts at every threshold between outer and inner.  guess: a scatter for each
-    reading, used only to leave likely outliers out of the levels in the second round.
+    reading, used only to leave likely outliers out of the levels.
     """
     n = len(x)
-    bad = np.zeros(n, bool)
     out: list[tuple[np.ndarray, ...]] = []
     if n < 3:
         return tuple(np.zeros(0) for _ in range(4))  # type: ignore[return-value]
-    for again in (False, True):
+    bad = shielding(x, seg, np.maximum(floor, FACTOR * guess))
+    for _ in range(ROUNDS):
         before, after = _sides(x, seg, bad)
         out = []
         for size in range(1, LONGEST + 1):
@@ -110,14 +143,14 @@ def excursions(x: np.ndarray, seg: np.ndarray, floor: float, guess: np.ndarray)
             outer = np.where(up > down, np.maximum(near, far) - high, low - np.minimum(near, far))
             keep = inner > np.maximum(outer, floor)
             out.append((i[keep], np.full(keep.sum(), size), inner[keep], outer[keep]))
-        if again or not any(len(o[0]) for o in out):
-            break
+        left_out = np.zeros(n, bool)
         for first, length, inner, outer in out:
             limit = np.maximum(floor, FACTOR * guess[first]) if len(first) else first
-            for i, size in zip(first[(inner > limit) & (outer <= limit)], length[(inner > limit) & (outer <= limit)], strict=True):
-                bad[i:i + size] = True
-        if not bad.any():
+            sure = (inner > limit) & (outer <= limit)
+            left_out[_spread(first[sure], length[sure])] = True
+        if (left_out == bad).all():
             break
+        bad = left_out
     return tuple(np.concatenate([o[k] for o in out]) if out else np.zeros(0) for k in range(4))  # type: ignore[return-value]
 
 

@@ -110,3 +110,24 @@ def test_running_median():
     x = np.random.default_rng(1).normal(size=400)
     p = np.concatenate([x[:1], x[:1], x, x[-1:], x[-1:]])
     assert np.array_equal(spikes.median5(x), np.median(np.lib.stride_tricks.sliding_window_view(p, 5), axis=1))
+
+
+def close_pair(gap, lead=60):
+    return [20.0 + 0.01 * (i % 3) for i in range(lead)] + [30.0] * 3 + [20.0] * gap + [30.0] * 3 + [20.0 + 0.01 * (i % 3) for i in range(60)]
+
+
+@pytest.mark.parametrize("gap", [1, 2, 3])
+def test_close_excursions_do_not_shield_each_other(gap):
+    x = np.array(close_pair(gap, 10)[:26 + gap])
+    first, size, inner, outer = spikes.excursions(x, np.zeros(len(x), int), 1.5, np.full(len(x), 0.01))
+    hit = (inner > 1.5) & (outer <= 1.5)
+    assert sorted(zip(first[hit].astype(int), size[hit].astype(int), strict=True)) == [(10, 3), (13 + gap, 3)]
+
+
+@pytest.mark.parametrize("lead", [20, 58, 60, 62, 95])
+def test_close_excursions_across_shards(spark, lead):
+    at = datetime(2024, 1, 1)
+    rows = [(i + 1, "u", "d", at + timedelta(seconds=5 * i), 0, 0, 0, 0, 0, 0, v, 50.0, "x", 1) for i, v in enumerate(close_pair(2, lead))]
+    df = spark.createDataFrame(rows, SCHEMA)
+    want = {(lead + k, "temp", "spike") for k in (1, 2, 3, 6, 7, 8)}
+    assert {tuple(r) for r in spikes.found(df, shard_s=300).where("kind = 'spike'").collect()} == want
