@@ -484,49 +484,49 @@ dr as (select subject_id, r as resample, (r * 7919 + j * 104729 + (r * j) % 8191
 boot as (select subject_id, target, resample, sum(times * a) / sum(times * part.n) as mae_a, sum(times * b) / sum(times * part.n) as mae_b from dr join part using (subject_id, ordinal) group by all)"""
 
 
-def bootstrap(spark, d) -> DataFrame:
+def bootstrap(spark, d, resamples: int = RESAMPLES) -> DataFrame:
     rows = placed(spark, d)
     o = agg.ordinals(rows)
     x = predicted(rows).join(o, ["subject_id", "night"])
     e = F.abs(F.col("p") - F.col("y"))
     part = x.groupBy("subject_id", "target", "ordinal").agg(F.sum(F.when(F.col("seed") == 0, e)).alias("a"), F.sum(F.when(F.col("seed") == 1, e)).alias("b"), F.count_if(F.col("seed") == 0).alias("n"))
-    drawn = stats.draws(o.groupBy("subject_id").agg(F.max("ordinal").cast("long").alias("n")), RESAMPLES)
+    drawn = stats.draws(o.groupBy("subject_id").agg(F.max("ordinal").cast("long").alias("n")), resamples)
     joined = drawn.withColumn("ordinal", F.col("ordinal").cast("int")).join(part, ["subject_id", "ordinal"])
     over = lambda c: F.sum(F.col("times") * F.col(c)) / F.sum(F.col("times") * F.col("n"))
     return joined.groupBy("subject_id", "target", "resample").agg(over("a").alias("mae_a"), over("b").alias("mae_b"))
 
 
 @query("N01_draws", f"with {_BOOT} select * from dr")
-def _(spark, d):
+def _(spark, d, resamples=RESAMPLES):
     o = agg.ordinals(sensor(spark, d))
-    return stats.draws(o.groupBy("subject_id").agg(F.max("ordinal").cast("long").alias("n")), RESAMPLES)
+    return stats.draws(o.groupBy("subject_id").agg(F.max("ordinal").cast("long").alias("n")), resamples)
 
 
 @query("N02_resampled_errors", f"with {_BOOT} select subject_id, target, resample, round(mae_a, 6) as mae_a, round(mae_b, 6) as mae_b from boot")
-def _(spark, d):
-    return bootstrap(spark, d).withColumns({"mae_a": F.round("mae_a", 6), "mae_b": F.round("mae_b", 6)})
+def _(spark, d, resamples=RESAMPLES):
+    return bootstrap(spark, d, resamples).withColumns({"mae_a": F.round("mae_a", 6), "mae_b": F.round("mae_b", 6)})
 
 
 _SIDE = "case when lo > 0 then 'above_zero' when hi < 0 then 'below_zero' else 'includes_zero' end as side"
 
 
 @query("N04_paired_bootstrap", f"with {_BOOT}, q as (select subject_id, target, round(quantile_cont(mae_b - mae_a, 0.025), 6) as lo, round(quantile_cont(mae_b - mae_a, 0.975), 6) as hi from boot group by 1, 2) select *, {_SIDE} from q")
-def _(spark, d):
+def _(spark, d, resamples=RESAMPLES):
     x = F.col("mae_b") - F.col("mae_a")
-    q = bootstrap(spark, d).groupBy("subject_id", "target").agg(F.round(F.percentile(x, 0.025), 6).alias("lo"), F.round(F.percentile(x, 0.975), 6).alias("hi"))
+    q = bootstrap(spark, d, resamples).groupBy("subject_id", "target").agg(F.round(F.percentile(x, 0.025), 6).alias("lo"), F.round(F.percentile(x, 0.975), 6).alias("hi"))
     return q.withColumn("side", stats.side(F.col("lo"), F.col("hi")))
 
 
 @query("N05_correlation_bootstrap", f"""with {_BOOT}, m as (select subject_id, target, ordinal, count(*) as n, sum(p) as sp, sum(y) as sy, sum(p * p) as spp, sum(y * y) as syy, sum(p * y) as spy from pred join o using (subject_id, night) where seed = 0 group by all),
 w as (select subject_id, target, resample, sum(times * m.n)::double as n, sum(times * sp)::double as sp, sum(times * sy)::double as sy, sum(times * spp)::double as spp, sum(times * syy)::double as syy, sum(times * spy)::double as spy from dr join m using (subject_id, ordinal) group by all)
 select subject_id, target, resample, round((spy / n - sp / n * sy / n) / sqrt((spp / n - pow(sp / n, 2)) * (syy / n - pow(sy / n, 2))), 5) as r from w""")
-def _(spark, d):
+def _(spark, d, resamples=RESAMPLES):
     rows = placed(spark, d)
     o = agg.ordinals(rows)
     p, y = F.col("p").cast("long"), F.col("y").cast("long")
     x = predicted(rows).where("seed = 0").join(o, ["subject_id", "night"])
     m = x.groupBy("subject_id", "target", "ordinal").agg(F.count("*").alias("n"), F.sum(p).alias("sp"), F.sum(y).alias("sy"), F.sum(p * p).alias("spp"), F.sum(y * y).alias("syy"), F.sum(p * y).alias("spy"))
-    drawn = stats.draws(o.groupBy("subject_id").agg(F.max("ordinal").cast("long").alias("n")), RESAMPLES).withColumn("ordinal", F.col("ordinal").cast("int"))
+    drawn = stats.draws(o.groupBy("subject_id").agg(F.max("ordinal").cast("long").alias("n")), resamples).withColumn("ordinal", F.col("ordinal").cast("int"))
     w = drawn.join(m, ["subject_id", "ordinal"]).groupBy("subject_id", "target", "resample").agg(*[F.sum(F.col("times") * F.col(c)).cast("double").alias(c) for c in ("n", "sp", "sy", "spp", "syy", "spy")])
     n = F.col("n")
     cov = F.col("spy") / n - F.col("sp") / n * F.col("sy") / n
@@ -538,11 +538,11 @@ dr as (select subject_id, r as resample, (r * 7919 + j * 104729 + (r * j) % 8191
 g as (select subject_id, ordinal, coalesce(code, 'UNKNOWN') as st, count(*) as n, sum(temperature) as t, sum(temperature * temperature) as q from ctx join o using (subject_id, night) group by all),
 b as (select subject_id, resample, st, sum(times * n)::double as n, sum(times * t)::double as t, sum(times * q)::double as q from dr join g using (subject_id, ordinal) group by all)
 select subject_id, resample, round((sum(t * t / n) - sum(t) * sum(t) / sum(n)) / (sum(q) - sum(t) * sum(t) / sum(n)), 6) as eta2 from b group by 1, 2""")
-def _(spark, d):
+def _(spark, d, resamples=50):
     c = heater(spark, d)
     o = agg.ordinals(c)
     g = c.join(o, ["subject_id", "night"]).groupBy("subject_id", "ordinal", "state").agg(F.count("*").alias("n"), F.sum("temperature").alias("t"), F.sum(F.col("temperature") * F.col("temperature")).alias("q"))
-    drawn = stats.draws(o.groupBy("subject_id").agg(F.max("ordinal").cast("long").alias("n")), 50).withColumn("ordinal", F.col("ordinal").cast("int"))
+    drawn = stats.draws(o.groupBy("subject_id").agg(F.max("ordinal").cast("long").alias("n")), resamples).withColumn("ordinal", F.col("ordinal").cast("int"))
     b = drawn.join(g, ["subject_id", "ordinal"]).groupBy("subject_id", "resample", "state").agg(*[F.sum(F.col("times") * F.col(x)).cast("double").alias(x) for x in ("n", "t", "q")])
     mid = F.sum("t") * F.sum("t") / F.sum("n")
     return b.groupBy("subject_id", "resample").agg(F.round(F.try_divide(F.sum(F.col("t") * F.col("t") / F.col("n")) - mid, F.sum("q") - mid), 6).alias("eta2"))
@@ -556,13 +556,27 @@ def _(spark, d):
 
 
 @query("O02_interpretation", f"with {_BOOT}, q as (select subject_id, target, quantile_cont(mae_b - mae_a, 0.025) as lo, quantile_cont(mae_b - mae_a, 0.975) as hi from boot group by 1, 2) select target, count(*) filter (where lo > 0) as worse, count(*) filter (where hi < 0) as better, count(*) filter (where lo <= 0 and hi >= 0) as open from q group by 1")
-def _(spark, d):
+def _(spark, d, resamples=RESAMPLES):
     x = F.col("mae_b") - F.col("mae_a")
-    q = bootstrap(spark, d).groupBy("subject_id", "target").agg(F.percentile(x, 0.025).alias("lo"), F.percentile(x, 0.975).alias("hi"))
+    q = bootstrap(spark, d, resamples).groupBy("subject_id", "target").agg(F.percentile(x, 0.025).alias("lo"), F.percentile(x, 0.975).alias("hi"))
     lo, hi = F.col("lo"), F.col("hi")
     return q.groupBy("target").agg(F.count_if(lo > 0).alias("worse"), F.count_if(hi < 0).alias("better"), F.count_if((lo <= 0) & (hi >= 0)).alias("open"))
 
 
+# The queries above with the draws of the reference; their own SQL fixes them at 200 and 50.
+WHOLE = 2_000
+for _name in ("N01_draws", "N02_resampled_errors", "N04_paired_bootstrap", "N05_correlation_bootstrap", "O02_interpretation"):
+    Q[f"{_name}_whole"] = lambda spark, d, f=Q[_name]: f(spark, d, WHOLE)
+    SQL[f"{_name}_whole"] = SQL[_name].replace(f"generate_series(0, {RESAMPLES - 1})", f"generate_series(0, {WHOLE - 1})")
+
+
+@query("N06_eta_interval", f"""with e as ({SQL["N06_eta_bootstrap"].replace("generate_series(0, 49)", f"generate_series(0, {WHOLE - 1})")})
+select subject_id, count(*) as resamples, count(eta2) as defined, round(quantile_cont(eta2, 0.025), 6) as lo, round(quantile_cont(eta2, 0.975), 6) as hi from e group by 1""")
+def _(spark, d):
+    e = Q["N06_eta_bootstrap"](spark, d, WHOLE)
+    return e.groupBy("subject_id").agg(F.count("*").alias("resamples"), F.count("eta2").alias("defined"), F.round(F.percentile("eta2", 0.025), 6).alias("lo"), F.round(F.percentile("eta2", 0.975), 6).alias("hi"))
+
+
 def queries() -> dict[str, Query]:
     return dict(Q)
 
