@@ -62,6 +62,11 @@ def _(spark, d):
     return table(spark, d, "sensor_rows").where("subject_id = 'U000004'").groupBy("device_id").agg(F.count("*").alias("n"), F.max("p1").alias("p1_high"))
 
 
+@query("A09_scan_by_subject", "select subject_id, device_id, count(*) as n, max(p1) as p1_high from sensor_rows group by 1, 2")
+def _(spark, d):
+    return table(spark, d, "sensor_rows").groupBy("subject_id", "device_id").agg(F.count("*").alias("n"), F.max("p1").alias("p1_high"))
+
+
 @query("A11_row_violations", "select count(*) as violations from sensor_rows where not coalesce(p1 between 0 and 4095 and p2 between 0 and 4095 and p3 between 0 and 4095 and p4 between 0 and 4095 and p5 between 0 and 4095 and p6 between 0 and 4095, false)")
 def _(spark, d):
     ok = F.lit(True)

@@ -251,6 +251,11 @@ def _(spark, d):
     return table(spark, d, "sensor_rows").where((F.col("subject_id") == "U000001") & F.col("event_raw").rlike("AHON|AHOF")).select("row_id", "ts", "event_raw")
 
 
+@query("D11_heater_events_all", "select subject_id, row_id, ts, event_raw from sensor_rows where regexp_matches(event_raw, 'AHON|AHOF')")
+def _(spark, d):
+    return table(spark, d, "sensor_rows").where(F.col("event_raw").rlike("AHON|AHOF")).select("subject_id", "row_id", "ts", "event_raw")
+
+
 @query("D12_identity", "select distinct s.subject_id, s.device_id from sensor_rows s anti join (select subject_id, device_id from log_files) f on s.subject_id = f.subject_id and s.device_id = f.device_id")
 def _(spark, d):
     owners = table(spark, d, "log_files").select("subject_id", "device_id").distinct()
