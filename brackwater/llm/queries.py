@@ -24,6 +24,8 @@ def queries() -> dict[str, Query]:
     return {
         "p1_found": over(copies.grouped, "upload_records"),
         "p1_collapsed": over(copies.collapsed, "upload_records"),
+        "p1_st_copies": over(lambda df: copies.grouped(df, text="st", fields=copies.ST_FIELDS), "upload_records"),
+        "p1_event_copies": over(lambda df: copies.grouped(df, text="event_raw", fields=()), "upload_records"),
         "p8_ids": over(tokenizer.ids, "documents"),
         "p8_decoded": over(_roundtrip, "documents"),
         "p9_shares": over(mixing.shares, "documents", "mix_targets"),

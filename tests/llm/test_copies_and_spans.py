@@ -18,7 +18,7 @@ def plain(text):
             digit = v[k + 1:k + 2].isdigit()
             if ch.isalnum():
                 o += ch.lower()
-            elif f != "ts" and ch == "-" and (digit or v[k + 1:k + 2] == "." and v[k + 2:k + 3].isdigit()) and not (k and v[k - 1].isalnum()) or f != "ts" and ch == "." and digit and not (k and (v[k - 1].isalpha() or v[k - 1] == ".")):
+            elif f != "ts" and digit and (ch == "-" and not (k and v[k - 1].isalnum()) or ch == "." and k and v[k - 1].isdigit()):
                 o += ch
         out[f] = o
     return tuple(out.get(f) for f in FIELDS)
@@ -46,6 +46,33 @@ def test_copies_edge_cases(spark):
     assert copies.grouped(empty).count() == 0 and copies.collapsed(empty).count() == 0
 
 
+def test_dress_of_letters_and_fields(spark):
+    full = "subj=a{s}dev=1{s}ts=2025-01-02 03:04:05{s}p1=1{s}p2=2{s}p3=3{s}p4=4{s}p5=5{s}p6=6{s}temp=1.5{s}humid=2{s}event="
+    same = [["night temp: check x", "Night Temp Check X"], ["ＡＢ strasse", "ab STRASSE", "AB Straße"], ["caf\u00e9 \ud55c", "cafe\u0301 \u1112\u1161\u11ab"], ["x, p1: 7", "x p1 7"], ["a <1> b", "A-1: b"]]
+    rows = [(10 * g + i, full.format(s=[",", " | ", "\t"][i]) + text) for g, texts in enumerate(same) for i, text in enumerate(texts)]
+    rows += [(100, "subj=a dev=1 ts=1 p1=1 p2=2 p3=3 p4=4 p5=5 p6=6 temp=1.5 humid=2 event=q"), (101, "SUBJ=a,dev=1,ts=1,p1=1,p2=2,p3=3,p4=4,p5=5,p6=6,temp=1.5,humid=2,event=q")]
+    df = spark.createDataFrame(rows, "record_id long, full_text string")
+    assert {tuple(r) for r in copies.grouped(df).collect()} == {(10 * g, 10 * g + i) for g, texts in enumerate(same) for i in range(1, len(texts))} | {(100, 101)}
+
+
+def test_other_texts_of_a_record(spark):
+    rows = [(1, "ts=2025-01-01 00:00:00,p1=1,p2=1,temp=-1", "A b"), (2, "TEMP: -1 | P2: 1 | TS: 2025/01/01 00:00:00 | P1: 1", "a-B"), (3, "ts=2025-01-01 00:00:00,p1=1,p2=1,temp=1", "ab."), (4, None, None), (5, "", "")]
+    df = spark.createDataFrame(rows, "record_id long, st string, event_raw string")
+    assert {tuple(r) for r in copies.grouped(df, text="st", fields=copies.ST_FIELDS).collect()} == {(1, 2)}
+    assert {tuple(r) for r in copies.grouped(df, text="event_raw", fields=()).collect()} == {(1, 2), (1, 3)}
+
+
+def test_multisets_and_collisions(spark, monkeypatch):
+    cases = [(["a", "b"], ["b", "a"], True), (["a", "a", "b"], ["a", "b", "b"], False), (["a", "b", "a"], ["a", "a", "b"], True), (["a"], ["a", "a"], False), ([], [], True)]
+    df = spark.createDataFrame(cases, "a array<string>, b array<string>, want boolean")
+    assert all(r[0] == r[1] for r in df.select(copies.same_multiset(df["a"], df["b"]), "want").collect())
+    from pyspark.sql import functions as F
+    monkeypatch.setattr(copies, "fingerprint", lambda items: [F.lit(0).cast("long")] * 4)  # everything collides
+    rows = [(1, "p1=1,p2=1"), (2, "p1=2,p2=1"), (3, "p2=1;p1=2"), (4, "p1=1,p2=1"), (5, "p1=3,p2=3"), (6, "p1=2,p1=1"), (7, "p1=1,p1=2")]
+    df = spark.createDataFrame(rows, "record_id long, full_text string")
+    assert {tuple(r) for r in copies.grouped(df).collect()} == {(1, 4), (2, 3), (6, 7)}
+
+
 def covered(docs, span):
     seen = defaultdict(set)
     for i, t in docs:
