@@ -7,7 +7,9 @@ by the calendar (a century of days is 36,525), not by the number of rows.
 
 from __future__ import annotations
 
-import tempfile
+import atexit
+import os
+import shutil
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -17,33 +19,47 @@ from pyspark.sql.window import Window
 
 DAY_S = 86_400
 DAY_US = DAY_S * 1_000_000
-_own_folder: str | None = None
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_tables: list[tuple[SparkSession, str]] = []
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; only where that is unset (tests), one of our own."""
-    global _own_folder
+    """The folder of spark.checkpoint.dir.  Without that setting only a local session, whose driver is its only executor, has one."""
     if configured := spark.conf.get("spark.checkpoint.dir", None):
-        return configured
-    _own_folder = _own_folder or tempfile.mkdtemp(prefix="brackwater-")
-    return _own_folder
+        return configured.rstrip("/")
+    if not spark.conf.get("spark.master", "").startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return f"/tmp/brackwater-{os.getpid()}"
 
 
 def written(df: DataFrame, tag: str) -> DataFrame:
-    """Cut the lineage: write df into the shared folder and read it back with the same schema."""
-    path = f"{shared_folder(df.sparkSession).rstrip('/')}/brackwater-{tag}-{uuid.uuid4().hex}"
+    """Cut the lineage: write df into the shared folder and read it back with the same schema; `drop_tables` deletes it."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/brackwater-{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    _tables.append((spark, path))
+    return spark.read.schema(df.schema).parquet(path)
+
+
+@atexit.register
+def _drop_local() -> None:
+    shutil.rmtree(f"/tmp/brackwater-{os.getpid()}", ignore_errors=True)
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Rows over at least as many partitions as there are cores, where each row is much work; large inputs stay as they are."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+def drop_tables() -> int:
+    """Delete the tables that `written` made in this process, once their results have been used; their number."""
+    n = len(_tables)
+    while _tables:
+        spark, path = _tables.pop()
+        jvm = spark._jvm
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    return n
 
 
 def epoch_us(ts: Column) -> Column:

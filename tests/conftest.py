@@ -11,9 +11,9 @@ os.environ["PYTHONPATH"] = f"{ROOT}:{os.environ.get('PYTHONPATH', '')}"
 
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
     s = (SparkSession.builder.master("local[4]").appName("tests").config("spark.sql.shuffle.partitions", "4").config("spark.sql.session.timeZone", "UTC")
-         .config("spark.driver.memory", "4g").config("spark.ui.enabled", "false").getOrCreate())
+         .config("spark.driver.memory", "4g").config("spark.checkpoint.dir", str(tmp_path_factory.mktemp("tables"))).config("spark.ui.enabled", "false").getOrCreate())
     s.sparkContext.setLogLevel("ERROR")
     yield s
     s.stop()
