@@ -1,19 +1,20 @@
 """Implausible spikes in measurements: impossible readings, spikes and stuck runs, judged per series and channel.
 
-Model of a channel: a level that may shift plus noise.  The usual scatter is the robust scale of the first differences
-(1.4826 MAD / sqrt 2); no autoregression is fitted, the differences are its residuals with the coefficient set to one.
-Level shift test: differences over the threshold part the readings into stretches, and a stretch of more than LONGEST
-readings carries a level.  Additive outlier test: a shorter stretch that departs to one side from the levels carried before
-and after it is left out of the running medians, so that outliers close together do not shield each other.  A reading is
-then a spike if it departs to one side from the median level before and after it; the medians are taken again without the
-spikes until nothing changes.
-
-Execution: one shuffle brings each (series, time shard) together in time order; numpy works on whole buffers of complete
-shards, never per reading.  A shard yields its findings that need no neighbour, a histogram of differences, and its
-outermost readings.  These summaries, whose number is bounded by the calendar, are put together per series: the
-histograms give the scatter of the whole series, the outermost readings are judged across shard borders.  Series longer
-than a shard, however hot, are thus spread over tasks.  A reading that was sent again very often is found beforehand by a
-mergeable heavy-hitter sketch, enters its shard once, and its copies are flagged by a join on that bounded key list.
+Method: to every stretch of a channel a robust autoregression of order one is fitted (the coefficient from the signs of
+neighbours about the median, so that outliers cannot move it; near one it counts as a unit root).  Its residuals are
+tested at every reading for an additive outlier of one to three readings and for a level shift; the strongest effects are
+taken out of the series and the residuals are formed and tested again until nothing stands out.  An exact check follows
+where a test stood out: levels before and after are medians of five readings without the outliers, the usual scatter is
+the robust scale of the first differences of the whole series (1.4826 MAD / sqrt 2), and an excursion counts if it departs
+to one side from both levels.  Stuck runs and physical limits are judged apart.
+
+Execution: one shuffle brings each (series, shard) together in time order; numpy works on whole buffers of complete
+shards, never per reading.  A shard is a stretch of time; where that holds too many rows it is cut further, at whole
+minutes, by counts taken beforehand, and rows sent again there are collapsed to one row with map-side aggregation, so that
+neither a fast source nor a reading sent a million times fills one task.  A shard yields its findings that need no
+neighbour, a histogram of differences, and its outermost readings.  These summaries are put together per series: the
+histograms give the scatter of the whole series, the outermost readings are judged across shard borders.  Findings on
+collapsed rows go back to all their copies by an equi-join on series and time.
 """
 
 from __future__ import annotations
@@ -26,18 +27,21 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from brackwater.shared import DAY_S, epoch_us, floor_div, written
 
+NO_ID = -(1 << 63)  # stands for a missing row_id, which comes before all others
+
 CHANNELS = ["temp", "humid", "p1", "p2", "p3", "p4", "p5", "p6"]
 # Physical limits and least departures of a spike, by channel.
 LIMITS = {"temp": (-10.0, 60.0), "humid": (0.0, 100.0), **{f"p{i}": (0.0, 4095.0) for i in range(1, 7)}}
 FLOOR = {"temp": 1.5, "humid": 3.0, **{f"p{i}": 30.0 for i in range(1, 7)}}
 FACTOR, LONGEST, STUCK, USUAL_CHANGE = 12.0, 3, 40, 0.5
 SHARD_S = 4 * DAY_S
-REACH, ROUNDS = 24, 8  # readings between a short stretch and the level carried on either side; rounds at most
+SHARD_ROWS, MOST_PARTS = 500_000, 128  # rows of a shard before it is cut, parts of it at most
+CRITICAL, ROUNDS, HORIZON, UNIT_ROOT = 3.5, 8, 4, 0.95  # of the tests on residuals; readings by which a level shift is told
 EDGE, KEEP = 40, 112  # readings of a shard's ends that are judged across borders; readings kept there for that
-HOT_ROWS, HOT_KEYS, SKETCH = 20_000, 64, 4_096
 BUFFER_ROWS = 150_000
 _OCTAVE, _LOW, _BINS = 16, -8, 16 * 22  # histogram of |difference|: 16 bins an octave from 2^-8 to 2^14
 
@@ -83,33 +87,85 @@ def _sides(x: np.ndarray, seg: np.ndarray, bad: np.ndarray) -> tuple[np.ndarray,
     return before, after
 
 
-def shielding(x: np.ndarray, seg: np.ndarray, limit: np.ndarray) -> np.ndarray:
-    """Readings of short stretches that depart to one side from the levels carried before and after them, at most REACH away."""
-    bad = np.zeros(len(x), bool)
-    first = np.flatnonzero(np.r_[True, (np.abs(np.diff(x)) > limit[1:]) | (np.diff(seg) != 0)])
-    stop = np.r_[first[1:], len(x)]
-    carries = stop - first > LONGEST
-    short = np.flatnonzero(~carries)
-    if not len(short) or not carries.any():
-        return bad
-    place = np.arange(len(first))
-    left = np.maximum.accumulate(np.where(carries, place, -1))[short]
-    right = np.minimum.accumulate(np.where(carries, place, len(first))[::-1])[::-1][short]
-    ok = (left >= 0) & (right < len(first))
-    short, left, right = short[ok], left[ok], right[ok]
-    ok = (seg[first[left]] == seg[first[short]]) & (seg[first[right]] == seg[first[short]]) & (first[short] - stop[left] <= REACH) & (first[right] - stop[short] <= REACH)
-    short, left, right = short[ok], left[ok], right[ok]
-    if not len(short):
-        return bad
-    m = median5(x)
-    four = lambda at: np.median(x[at[:, None] + np.arange(LONGEST + 1)], axis=1)
-    size = stop - first
-    before = np.where(size[left] > 4, m[stop[left] - 3], four(stop[left] - LONGEST - 1))
-    after = np.where(size[right] > 4, m[np.minimum(first[right] + 2, len(x) - 1)], four(first[right]))
-    low, high = np.minimum.reduceat(x, first)[short], np.maximum.reduceat(x, first)[short]
-    out = np.maximum(low - np.maximum(before, after), np.minimum(before, after) - high) > limit[first[short]]
-    bad[_spread(first[short[out]], size[short[out]])] = True
-    return bad
+def autoregression(x: np.ndarray) -> float:
+    """Robust coefficient of order one: the sine law on how often neighbours lie on the same side of the median."""
+    side = np.sign(x - np.median(x)) if len(x) else x
+    both = side[1:] * side[:-1]
+    both = both[both != 0]
+    if len(both) < 20:
+        return 1.0
+    phi = float(np.sin(np.pi / 2 * both.mean()))
+    return 1.0 if phi > UNIT_ROOT else max(phi, -UNIT_ROOT)
+
+
+def residual_tests(e: np.ndarray, phi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Per reading and effect (outlier of 1, 2, 3 readings, level shift): its size and its weight against the residuals' scale."""
+    n, c = len(e), 1 - phi
+    pad = np.concatenate([e, np.zeros(HORIZON + 1)])
+    later = [pad[k:k + n] for k in range(HORIZON + 1)]
+    size, weight = np.empty((LONGEST + 1, n)), np.empty((LONGEST + 1, n))
+    inner = np.zeros(n)
+    for k in range(1, LONGEST + 1):  # an outlier of k readings: enters at once, then by 1 - phi, leaves by -phi
+        norm = 1 + (k - 1) * c * c + phi * phi
+        size[k - 1] = (e + c * inner - phi * later[k]) / norm
+        weight[k - 1] = np.sqrt(norm)
+        inner = inner + later[k]
+    norm = 1 + HORIZON * c * c
+    size[LONGEST] = (e + c * (inner + later[HORIZON])) / norm
+    weight[LONGEST] = np.sqrt(norm)
+    return size, weight
+
+
+def outliers(x: np.ndarray, seg: np.ndarray, floor: float, guess: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Readings in additive outliers, and readings at which any effect stands out of the residuals of the autoregression."""
+    n = len(x)
+    cut = np.flatnonzero(np.r_[True, np.diff(seg) != 0])
+    stop = np.r_[cut[1:], n]
+    last = np.repeat(stop, stop - cut)
+    middle, phi = np.empty(n), np.empty(n)
+    for a, b in zip(cut, stop, strict=True):
+        middle[a:b], phi[a:b] = np.median(x[a:b]), autoregression(x[a:b])
+    z = x - middle
+    head = np.zeros(n, bool)
+    head[cut] = True
+    scale = np.zeros(n)
+    out, marked, done = np.zeros(n, bool), np.zeros(n, bool), np.zeros(n, bool)
+    for turn in range(ROUNDS):
+        e = np.r_[0.0, z[1:] - phi[1:] * z[:-1]]
+        e[head] = 0.0
+        if not turn:
+            for a, b in zip(cut, stop, strict=True):
+                scale[a:b] = 1.4826 * np.median(np.abs(e[a:b]))
+            scale = np.maximum(np.minimum(scale, 2 * guess), floor / FACTOR)
+        at = np.flatnonzero((np.abs(e) > scale) & ~done)  # no effect starts where the residual itself is small
+        if not len(at):
+            break
+        size, weight = residual_tests(e, phi)
+        ratio = np.abs(size[:, at]) * weight[:, at] / scale[at]
+        kind, top = ratio.argmax(0), ratio.max(0)
+        strong = top > CRITICAL
+        at, kind, top = at[strong], kind[strong], top[strong]
+        if not len(at):
+            break
+        taken = np.zeros(n + LONGEST + 2, bool)
+        shift = np.zeros(n)
+        for j in np.lexsort((at, -top)):
+            i, k = int(at[j]), int(kind[j]) + 1
+            level = k > LONGEST
+            end = i + 1 if level else min(i + k, int(last[i]))
+            if taken[i:end + 1].any():
+                continue
+            taken[i:end + 1] = True
+            done[i] = marked[i] = True
+            if level:
+                shift[i] = size[LONGEST, i]
+            else:
+                out[i:end] = marked[i:end] = True
+                z[i:end] = z[i - 1]
+        if shift.any():
+            total = np.cumsum(shift)
+            z = z - (total - np.repeat(total[cut] - shift[cut], stop - cut))
+    return out, marked
 
 
 def excursions(x: np.ndarray, seg: np.ndarray, floor: float, guess: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -123,12 +179,16 @@ def excursions(x: np.ndarray, seg: np.ndarray, floor: float, guess: np.ndarray)
     out: list[tuple[np.ndarray, ...]] = []
     if n < 3:
         return tuple(np.zeros(0) for _ in range(4))  # type: ignore[return-value]
-    bad = shielding(x, seg, np.maximum(floor, FACTOR * guess))
+    bad, marked = outliers(x, seg, floor, guess)
+    if not marked.any():
+        return tuple(np.zeros(0) for _ in range(4))  # type: ignore[return-value]
+    reach = np.cumsum(np.r_[0, marked])  # an excursion is looked at if a test stood out in it or beside it
     for _ in range(ROUNDS):
         before, after = _sides(x, seg, bad)
         out = []
         for size in range(1, LONGEST + 1):
             i = np.arange(1, n - size)
+            i = i[reach[np.minimum(i + size + 1, n)] > reach[i - 1]]
             if not len(i):
                 continue
             b, a = before[i], after[i + size - 1]
@@ -194,15 +254,15 @@ def _spread(first: np.ndarray, length: np.ndarray) -> np.ndarray:
     return start + np.arange(length.sum())
 
 
-_FINDINGS = pa.schema([("sid", pa.int64()), ("sid2", pa.int32()), ("shard", pa.int64()), ("row_id", pa.int64()), ("us", pa.int64()), ("value", pa.float64()),
+_FINDINGS = pa.schema([("sid", pa.int64()), ("sid2", pa.int32()), ("shard", pa.int64()), ("row_id", pa.int64()), ("many", pa.bool_()), ("us", pa.int64()), ("value", pa.float64()),
                        ("channel", pa.int8()), ("kind", pa.string()), ("inner", pa.float64()), ("outer", pa.float64()), ("summary", pa.binary())])
-FINDINGS = "sid bigint, sid2 int, shard bigint, row_id bigint, us bigint, value double, channel tinyint, kind string, `inner` double, `outer` double, summary binary"
+FINDINGS = "sid bigint, sid2 int, shard bigint, row_id bigint, many boolean, us bigint, value double, channel tinyint, kind string, `inner` double, `outer` double, summary binary"
 
 
 def _judge_buffer(t: pa.Table) -> pa.RecordBatch:
     sid, sid2, shard, us = (t[c].to_numpy() for c in ("sid", "sid2", "shard", "us"))
-    rid = t["row_id"].fill_null(-1).to_numpy()
-    no_id = np.asarray(t["row_id"].is_null())
+    rid = t["row_id"].to_numpy()
+    many = np.asarray(t["many"])
     n = len(us)
     new = np.r_[True, (np.diff(sid) != 0) | (np.diff(sid2) != 0) | (np.diff(shard) != 0)]
     seg = np.cumsum(new) - 1
@@ -263,7 +323,7 @@ def _judge_buffer(t: pa.Table) -> pa.RecordBatch:
             at = np.r_[a:b] if b - a <= 2 * KEEP else np.r_[a:a + KEEP, b - KEEP:b]
             all_rows, which = copies(at)
             hit = np.flatnonzero(counts)
-            ends[k][c] = (hit.astype(np.int16), counts[hit], able, changed, int(b - a), x[at], us[rep[at]], rid[all_rows], no_id[all_rows], which.astype(np.int32))
+            ends[k][c] = (hit.astype(np.int16), counts[hit], able, changed, int(b - a), x[at], us[rep[at]], rid[all_rows], many[all_rows], which.astype(np.int32))
     at = np.concatenate([f[0] for f in found]) if found else np.zeros(0, np.int64)
     m = len(heads)
     value = np.full(len(at), np.nan)
@@ -276,7 +336,7 @@ def _judge_buffer(t: pa.Table) -> pa.RecordBatch:
     both = np.concatenate([at, heads])
     pad = lambda a, fill: np.concatenate([a, np.full(m, fill)])
     columns = [
-        pa.array(sid[both]), pa.array(sid2[both]), pa.array(shard[both]), pa.array(rid[both], mask=np.concatenate([no_id[at], np.ones(m, bool)])), pa.array(us[both]),
+        pa.array(sid[both]), pa.array(sid2[both]), pa.array(shard[both]), pa.array(rid[both]), pa.array(many[both]), pa.array(us[both]),
         pa.array(pad(value, np.nan)), pa.array(pad(channel, -1).astype(np.int8)), pa.array(list(kind) + ["summary"] * m, pa.string()),
         pa.array(np.concatenate([*[f[3] for f in found], np.zeros(m)])), pa.array(np.concatenate([*[f[4] for f in found], np.zeros(m)])),
         pa.array([None] * len(at) + [pickle.dumps(e, 5) for e in ends], pa.binary()),
@@ -288,26 +348,26 @@ def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Whole shards only: rows are sorted by shard, the last shard of a buffer waits for the next batch."""
     held: list[pa.RecordBatch] = []
     rows = 0
+    before: tuple | None = None
     for batch in batches:
         if not batch.num_rows:
             continue
+        key = [batch.column(i).to_numpy() for i in range(3)]
+        if rows >= BUFFER_ROWS:
+            fresh = np.r_[tuple(k[0] for k in key) != before, (np.diff(key[0]) != 0) | (np.diff(key[1]) != 0) | (np.diff(key[2]) != 0)]
+            change = np.flatnonzero(fresh)
+            if len(change):
+                at = int(change[-1])
+                yield _judge_buffer(pa.Table.from_batches([*held, batch.slice(0, at)]))
+                held, rows, batch = [], 0, batch.slice(at)
         held.append(batch)
         rows += batch.num_rows
-        if rows < BUFFER_ROWS:
-            continue
-        t = pa.Table.from_batches(held)
-        key = [t[c].to_numpy() for c in ("sid", "sid2", "shard")]
-        change = np.flatnonzero((np.diff(key[0]) != 0) | (np.diff(key[1]) != 0) | (np.diff(key[2]) != 0))
-        if not len(change):
-            continue
-        yield _judge_buffer(t.slice(0, int(change[-1]) + 1))
-        held = t.slice(int(change[-1]) + 1).combine_chunks().to_batches()
-        rows = sum(b.num_rows for b in held)
+        before = tuple(k[-1] for k in key)
     if rows:
         yield _judge_buffer(pa.Table.from_batches(held))
 
 
-_DECIDED = "sid bigint, sid2 int, channel tinyint, scatter double, lively boolean, row_id bigint, us bigint, value double, kind string"
+_DECIDED = "sid bigint, sid2 int, channel tinyint, scatter double, lively boolean, row_id bigint, many boolean, us bigint, value double, kind string"
 
 
 def _across(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -326,7 +386,7 @@ def _across(pdf: pd.DataFrame) -> pd.DataFrame:
         scatter = scatter_of(counts)
         able, changed = sum(p[2] for p in parts), sum(p[3] for p in parts)
         lively = able > 0 and changed > USUAL_CHANGE * able
-        out.append((sid, sid2, c, scatter, lively, None, None, None, None))
+        out.append((sid, sid2, c, scatter, lively, None, None, None, None, None))
         x, us = np.concatenate([p[5] for p in parts]), np.concatenate([p[6] for p in parts])
         # A shard of more readings than it keeps has a hole in the middle: there a new segment starts.
         piece, judged, base, part_base = [], [], 0, []
@@ -365,33 +425,49 @@ def _across(pdf: pd.DataFrame) -> pd.DataFrame:
                 rows = np.flatnonzero(wanted[start + p[9]]) if len(p[9]) else []
                 for r in rows:
                     i = start + p[9][r]
-                    out.append((sid, sid2, c, scatter, lively, None if p[8][r] else int(p[7][r]), int(us[i]), float(x[i]), kind))
-    frame = pd.DataFrame(out, columns=["sid", "sid2", "channel", "scatter", "lively", "row_id", "us", "value", "kind"])
-    return frame.astype({"row_id": "Int64", "us": "Int64", "value": "float64", "scatter": "float64"})
+                    out.append((sid, sid2, c, scatter, lively, int(p[7][r]), bool(p[8][r]), int(us[i]), float(x[i]), kind))
+    frame = pd.DataFrame(out, columns=["sid", "sid2", "channel", "scatter", "lively", "row_id", "many", "us", "value", "kind"])
+    return frame.astype({"row_id": "Int64", "many": "boolean", "us": "Int64", "value": "float64", "scatter": "float64"})
 
 
-def found(sensor: DataFrame, shard_s: int = SHARD_S, hot_rows: int = HOT_ROWS) -> DataFrame:
+def _sharded(keyed: DataFrame, shard_s: int, shard_rows: int) -> tuple[DataFrame, DataFrame]:
+    """(rows with `shard` and `many`, the rows of dense shards): shards of shard_s, cut where they hold over shard_rows rows.
+
+    `many` marks a row that stands for several equal ones; its row_id is the smallest of theirs.
+    """
+    slot = ["sid", "sid2", "slot"]
+    keyed = keyed.withColumn("slot", floor_div(F.col("us"), shard_s * 1_000_000))
+    dense = keyed.groupBy(*slot).agg(F.count("*").alias("_rows")).where(F.col("_rows") > shard_rows)
+    dense = written(dense.select(*[F.col(k).alias(f"_{k}") for k in slot], "_rows"), "spike-shards")  # small: its size is known to the planner
+    meets = (F.col("sid") == F.col("_sid")) & (F.col("sid2") == F.col("_sid2")) & (F.col("slot") == F.col("_slot"))
+    crowded = keyed.join(dense, meets).withColumn("_minute", floor_div(F.col("us"), 60_000_000))
+    minutes = crowded.groupBy(*slot, "_rows", "_minute").agg(F.count("*").alias("_n"))
+    so_far = F.sum("_n").over(Window.partitionBy(*slot).orderBy("_minute").rowsBetween(Window.unboundedPreceding, -1))
+    part = F.floor(F.coalesce(so_far, F.lit(0)) / F.greatest(F.lit(shard_rows), F.col("_rows") / MOST_PARTS))
+    minutes = minutes.withColumn("_part", part).withColumn("shard", F.min("_minute").over(Window.partitionBy(*slot, "_part")) * 60_000_000)
+    minutes = minutes.select(F.col("sid").alias("_s"), F.col("sid2").alias("_s2"), F.col("_minute").alias("_m"), "shard")
+    placed = crowded.join(minutes, (F.col("sid") == F.col("_s")) & (F.col("sid2") == F.col("_s2")) & (F.col("_minute") == F.col("_m")))
+    once = (placed.groupBy("sid", "sid2", "shard", "us", *CHANNELS).agg(F.min("row_id").alias("row_id"), F.count("*").alias("_n"))
+            .select("sid", "sid2", "shard", "us", "row_id", (F.col("_n") > 1).alias("many"), *CHANNELS))
+    plain = keyed.join(dense, meets, "left_anti").select("sid", "sid2", (F.col("slot") * (shard_s * 1_000_000)).alias("shard"), "us", "row_id", F.lit(False).alias("many"), *CHANNELS)
+    return plain.unionByName(once), crowded
+
+
+def found(sensor: DataFrame, shard_s: int = SHARD_S, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """(row_id, channel, kind) of every flagged reading.
 
     Defined cases: rows without ts are no cases; NaN counts as no reading, infinities as impossible; of rows with the same
     series and ts the reading is that of the smallest row_id that has one, and every row with that value is flagged with
-    it; null series keys are series of their own; rows without row_id count as readings but can be no cases; a series
-    whose usual scatter is 0 is judged by the least departures alone.
+    it; null series keys are series of their own; rows without row_id count as readings, before all others of their time,
+    but can be no cases; a series whose usual scatter is 0 is judged by the least departures alone.
     """
     keyed = sensor.where(F.col("ts").isNotNull()).select(
         F.xxhash64("subject_id", F.col("subject_id").isNull(), "device_id", F.col("device_id").isNull()).alias("sid"),
         F.hash("device_id", F.col("device_id").isNull(), "subject_id", F.col("subject_id").isNull()).alias("sid2"),
-        epoch_us(F.col("ts")).alias("us"), F.col("row_id").cast("long").alias("row_id"), *CHANNELS)
-    keyed = keyed.select("sid", "sid2", floor_div(F.col("us"), shard_s * 1_000_000).alias("shard"), "us", "row_id", *CHANNELS)
-    moment = F.xxhash64("sid", "sid2", "us")
-    top = keyed.select(F.expr(f"approx_top_k(xxhash64(sid, sid2, us), {HOT_KEYS}, {SKETCH})").alias("t")).first()["t"] or []
-    hot = [r["item"] for r in top if r["count"] >= hot_rows]  # at most HOT_KEYS keys
-    rest = keyed.where(~moment.isin(hot)) if hot else keyed
-    if hot:
-        same = keyed.where(moment.isin(hot)).groupBy("sid", "sid2", "shard", "us", *CHANNELS).agg(F.min("row_id").alias("_first"))
-        rest = rest.unionByName(same.select("sid", "sid2", "shard", "us", F.lit(None).cast("long").alias("row_id"), *CHANNELS))
-    shards = rest.repartition("sid", "sid2", "shard").sortWithinPartitions("sid", "sid2", "shard", "us", "row_id")
-    raw = written(shards.mapInArrow(_judge, FINDINGS), "spikes")
+        epoch_us(F.col("ts")).alias("us"), F.coalesce(F.col("row_id").cast("long"), F.lit(NO_ID)).alias("row_id"), *CHANNELS)
+    rows, crowded = _sharded(keyed, shard_s, shard_rows)
+    shards = rows.repartition("sid", "sid2", "shard").sortWithinPartitions("sid", "sid2", "shard", "us", "row_id")
+    raw = written(shards.select("sid", "sid2", "shard", "us", "row_id", "many", *CHANNELS).mapInArrow(_judge, FINDINGS), "spikes")
     decided = raw.where("kind = 'summary'").select("sid", "sid2", "shard", "summary").groupBy("sid", "sid2").applyInPandas(_across, _DECIDED)
     decided = written(decided, "spike-levels")
     scale = decided.where("kind is null").select(F.col("sid").alias("_s"), F.col("sid2").alias("_s2"), F.col("channel").alias("_c"), "scatter", "lively")
@@ -400,13 +476,12 @@ def found(sensor: DataFrame, shard_s: int = SHARD_S, hot_rows: int = HOT_ROWS) -
     limit = F.greatest(floor, FACTOR * F.col("scatter"))
     held = (candidates.join(scale, (F.col("sid") == F.col("_s")) & (F.col("sid2") == F.col("_s2")) & (F.col("channel") == F.col("_c")))
             .where(F.when(F.col("kind") == "stuck", F.col("lively")).otherwise((F.col("inner") > limit) & (F.col("outer") <= limit))))
-    columns = ["sid", "sid2", "us", "row_id", "value", "channel", "kind"]
+    columns = ["sid", "sid2", "us", "row_id", "many", "value", "channel", "kind"]
     flags = (raw.where("kind = 'impossible'").select(*columns).unionByName(held.select(*columns))
              .unionByName(decided.where("kind is not null").select(*columns)))
+    marked = flags.where("many").select(F.col("sid").alias("_s"), F.col("sid2").alias("_s2"), F.col("us").alias("_u"), F.col("value").alias("_v"), "channel", "kind").distinct()
+    copies = crowded.join(marked, (F.col("sid") == F.col("_s")) & (F.col("sid2") == F.col("_s2")) & (F.col("us") == F.col("_u")))
+    value = F.element_at(F.array(*[F.col(c).cast("double") for c in CHANNELS]), F.col("channel") + 1)
+    every = flags.where("not many").select("row_id", "channel", "kind").unionByName(copies.where(value == F.col("_v")).select("row_id", "channel", "kind"))
     name = F.element_at(F.array(*[F.lit(c) for c in CHANNELS]), F.col("channel") + 1)
-    if hot:
-        marked = flags.where("row_id is null").select(F.col("sid").alias("_s"), F.col("sid2").alias("_s2"), F.col("us").alias("_u"), F.col("value").alias("_v"), "channel", "kind").distinct()
-        copies = keyed.where(moment.isin(hot)).join(F.broadcast(marked), (F.col("sid") == F.col("_s")) & (F.col("sid2") == F.col("_s2")) & (F.col("us") == F.col("_u")))
-        value = F.element_at(F.array(*[F.col(c).cast("double") for c in CHANNELS]), F.col("channel") + 1)
-        flags = flags.where("row_id is not null").unionByName(copies.where(value == F.col("_v")).select(*[c if c != "value" else value.alias("value") for c in columns]))
-    return flags.where(F.col("row_id").isNotNull()).select("row_id", name.alias("channel"), "kind").distinct()
+    return every.where(F.col("row_id") != NO_ID).select("row_id", name.alias("channel"), "kind").distinct()

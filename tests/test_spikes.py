@@ -85,7 +85,7 @@ def as_dicts(rows):
     return [dict(zip(("row_id", "subject_id", "device_id", "ts", *spikes.CHANNELS[2:], "temp", "humid"), r[:12], strict=True)) for r in rows]
 
 
-@pytest.mark.parametrize("settings", [{}, {"shard_s": 600}, {"shard_s": 1_800, "hot_rows": 2}])
+@pytest.mark.parametrize("settings", [{}, {"shard_s": 600}, {"shard_s": 1_800, "shard_rows": 2}, {"shard_s": 86_400, "shard_rows": 100}])
 def test_made_series(spark, settings):
     rows = made(4)
     want = {x for x in brute([r for r in as_dicts(rows) if r["row_id"]]) if x[0]}
@@ -102,6 +102,33 @@ def test_driver_rows_like_brute_force(spark, sf):
     assert got == brute(rows)
 
 
+def test_conflicting_copies_at_every_size(spark):
+    at = datetime(2024, 1, 1)
+    base = [(1_000 + i, "u", "d", at + timedelta(seconds=5 * i), 0, 0, 0, 0, 0, 0, 20.0 + 0.01 * (i % 3), 50.0, "x", 1) for i in range(120)]
+    for order in ((20.0, 31.0, 45.0), (31.0, 20.0, 45.0), (45.0, 31.0, 20.0)):
+        copies = [(1 + k, *base[60][1:10], order[min(k, 2) if k < 2 else 1 + k % 2], *base[60][11:]) for k in range(60)]
+        df = spark.createDataFrame(base[:60] + base[61:] + copies + [(None, *base[30][1:10], 33.0, *base[30][11:])], SCHEMA)
+        got = [{tuple(r) for r in spikes.found(df, shard_rows=n).collect()} for n in (2, 10, 20_000)]
+        want = {(1 + k, "temp", "spike") for k in range(60) if order[0] != 20.0 and copies[k][10] == order[0]}
+        assert got[0] == got[1] == got[2] == want
+
+
+def test_autoregression_and_its_tests():
+    rng = np.random.default_rng(3)
+    e = rng.normal(size=4_000)
+    for phi in (0.0, 0.5, 0.8):
+        x = np.zeros(4_000)
+        for i in range(1, 4_000):
+            x[i] = phi * x[i - 1] + e[i]
+        x[::50] += 40
+        assert abs(spikes.autoregression(x) - phi) < 0.1
+    x = 0.1 * e[:400]
+    x[100:102] += 9
+    x[200:] += 7
+    out, marked = spikes.outliers(x, np.zeros(400, int), 1.5, np.full(400, 0.1))
+    assert out[100] and out[101] and out.sum() < 8 and marked[200] and not out[200]
+
+
 def test_empty(spark):
     assert spikes.found(spark.createDataFrame([], SCHEMA)).count() == 0
 
