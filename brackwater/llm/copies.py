@@ -147,15 +147,16 @@ def grouped(df: DataFrame, key: str = "record_id", text: str = "full_text", fiel
     members = rows.join(groups, meets("g")).select("_id", "_text", "_first", *_KEYS)
     kept = members.where(F.col("_id") == F.col("_first")).groupBy(*_KEYS).agg(F.min("_text").alias("_kept"))
     kept = kept.select(*[F.col(k).alias(f"{k}k") for k in _KEYS], "_kept")
-    members = members.where(F.col("_id") != F.col("_first")).join(kept, meets("k"))
-    members = members.select("_id", "_first", "_text", F.when(F.col("_text") == F.col("_kept"), True).otherwise(same_multiset(pairs(F.col("_text")), pairs(F.col("_kept")))).alias("_same"))
-    copies = members.where(F.col("_same")).select(F.col("_first").alias("kept_id"), F.col("_id").alias("copy_id"))
-
     def values_of(field: str) -> Column:
         return F.array_sort(F.filter("_pairs", lambda x: x.startswith(field + _VALUE)))
 
-    ordered = [values_of(f) for f in fields] or [F.col("_pairs")]
-    others = members.where(~F.col("_same")).select("_id", pairs(F.col("_text")).alias("_pairs")).select("_id", F.flatten(F.array(*ordered)).alias("_fields"))
+    fields_of = F.flatten(F.array(*[values_of(f) for f in fields])) if fields else F.col("_pairs")
+    members = members.where(F.col("_id") != F.col("_first")).join(kept, meets("k"))
+    same = F.when(F.col("_text") == F.col("_kept"), True).otherwise(same_multiset(pairs(F.col("_text")), pairs(F.col("_kept"))))
+    members = members.select("_id", "_first", _once(F.when(~same, pairs(F.col("_text")))).alias("_pairs"))
+    members = written(members.select("_id", "_first", fields_of.alias("_fields")), "copy-members")
+    copies = members.where(F.col("_fields").isNull()).select(F.col("_first").alias("kept_id"), F.col("_id").alias("copy_id"))
+    others = members.where(F.col("_fields").isNotNull())
     first = others.groupBy("_fields").agg(F.min("_id").alias("kept_id"))
     again = others.join(first, "_fields").select("kept_id", F.col("_id").alias("copy_id"))
     return copies.unionByName(again).where("kept_id <> copy_id").distinct()
