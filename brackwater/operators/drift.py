@@ -15,7 +15,7 @@ from brackwater.shared import DAY_US, epoch_us, floor_div, sharded_previous
 TARGET = {"ts": "string", "device_id": "string", "p1": "int", "p2": "int", "p3": "int", "p4": "int", "p5": "int", "p6": "int",
           "temp": "double", "humid": "double", "event": "string"}
 DATA_LINE = r"^[\s\p{Z}]*\d{2,4}-\d{2}"
-INT, DECIMAL = r"^-?[0-9]+$", r"^-?([0-9]+(\.[0-9]*)?|\.[0-9]+)$"
+INT, DECIMAL = r"^-?[0-9]+$", r"^-?[0-9]+(\.[0-9]+)?$"
 
 
 def strip(x: Column) -> Column:

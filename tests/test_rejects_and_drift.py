@@ -1,6 +1,7 @@
 import re
 from datetime import datetime
 
+import pandas as pd
 import pytest
 
 from brackwater.operators import drift, rejects
@@ -17,10 +18,20 @@ F8, T8 = ["ts", "p1", "temp", "event"], ["text", "int", "decimal", "text"]
     ('2024-01-05 01:02:03,5,20,"a, ""b"" c"', ",", None), ('2024-01-05 01:02:03,5,20, "a" ', ",", None), ("2024-01-05 01:02:03,5,20", ",", "wrong_count"), ("2024-01-05 01:02:03,5,20,LM,", ",", "wrong_count"),
     ("2024-01-05 01:02:03,5.0,20,LM", ",", "bad_value"), ("2024-01-05 01:02:03,+5,20,LM", ",", "bad_value"), ("2024-01-05 01:02:03,１,20,LM", ",", "bad_value"), ("2024-01-05 01:02:03,5,1e1,LM", ",", "bad_value"),
     ("2024-01-05 01:02:03,4096,20,LM", ",", "out_of_range"), ("2024-01-05 01:02:03,-1,20,LM", ",", "out_of_range"), ("2024-01-05 01:02:03,0,60.01,LM", ",", "out_of_range"), ("2024-01-05 01:02:03,,,", ",", None),
+    ("2024-01-05 24:00:00,5,20,LM", ",", "bad_time"), ("2024-01-05 24:00,5,20,LM", ",", "bad_time"), ("2024-01-05 01:02:03,5,5.,LM", ",", "bad_value"), ("2024-01-05 01:02:03,5,-.5,LM", ",", "bad_value"),
+    ('2024-01-05 01:02:03,5,20,"a" ,', ",", "wrong_count"), ('2024-01-05 01:02:03,5,20,""', ",", None), ('2024-01-05 01:02:03,"5","20","x,y"', ",", None), ('2024-01-05 01:02:03,"5x","20","x,y"', ",", "bad_value"), ('2024-01-05 01:02:03,5a"b,"c', ",", "broken_quote"),
     ("2024-01-05 01:02:03\t5\t20\t", "\t", None), ("2024-01-05 01:02:03\t\t\t\r", "\t", None), ("2024-01-05 01:02:03\t5\t20", "\t", "wrong_count"), ('2024-01-05 01:02:03;5;20;"a;b"', ";", None),
 ])
 def test_line_rule(line, sep, want):
     assert rejects.reason_of(line, sep, F8, T8) == want
+    # The reader gives the same, alone and between other lines.
+    good = "2024-01-05 01:02:03,5,20,LM".replace(",", sep)
+    for lines in ([line], [good, line, line, good]):
+        pdf = pd.DataFrame({"line_id": range(len(lines)), "file_id": "f", "line_no": 1, "line": lines, "sep": sep, "fields": "\x01".join(F8), "types": "\x01".join(T8)})
+        got = pd.concat(rejects._judge(False, iter([pdf])))
+        assert list(zip(got["line_id"], got["reason"], strict=True)) == [(i, want) for i, x in enumerate(lines) if x == line and want]
+        whole = pd.concat(rejects._judge(True, iter([pdf]))).sort_values("line_id")
+        assert list(whole["line_id"]) == list(range(len(lines))) and list(whole["reason"].isna()) == [x != line or not want for x in lines]
 
 
 FILES = "file_id string, source_id string, subject_id string, device_id string, uploaded_at timestamp_ntz, sep string, headers string, field_types string"
@@ -55,7 +66,10 @@ def test_found_and_table(spark, world, rows_of):
     assert "line" in t[6]["rescued"] and "line" in t[7]["rescued"] and 9 not in t
     back = {r["line_id"]: r for r in drift.promote(drift.ingest(df, *world), {"battery": "int"}).collect()}
     assert back[5]["battery"] == 80 and back[5]["rescued"] is None and back[4]["rescued"] == '{"temp":"x"}'
-    assert {r["line_id"] for r in rejects.loaded(df, *world).collect()} == set(t) - {3, 4}
+    bad_without_id = spark.createDataFrame([(None, "f1", 9, "2024-01-05 01:02:03,x,2,LM", "x")], LINES)
+    loaded = {r["line_id"]: r for r in rejects.loaded(df.unionByName(bad_without_id), *world).collect()}
+    assert set(loaded) == set(t) - {3, 4}
+    assert all(loaded[i].asDict() == t[i].asDict() for i in loaded)
     assert rejects.found(spark.createDataFrame([], LINES), *world).count() == 0
 
 
