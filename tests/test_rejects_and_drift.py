@@ -28,7 +28,7 @@ def test_line_rule(line, sep, want):
     good = "2024-01-05 01:02:03,5,20,LM".replace(",", sep)
     for lines in ([line], [good, line, line, good]):
         pdf = pd.DataFrame({"line_id": range(len(lines)), "file_id": "f", "line_no": 1, "line": lines, "sep": sep, "fields": "\x01".join(F8), "types": "\x01".join(T8)})
-        got = pd.concat(rejects._judge(False, iter([pdf])))
+        got = pd.concat(rejects._judge(False, iter([pdf]))).sort_values("line_id")
         assert list(zip(got["line_id"], got["reason"], strict=True)) == [(i, want) for i, x in enumerate(lines) if x == line and want]
         whole = pd.concat(rejects._judge(True, iter([pdf]))).sort_values("line_id")
         assert list(whole["line_id"]) == list(range(len(lines))) and list(whole["reason"].isna()) == [x != line or not want for x in lines]
