@@ -1,11 +1,13 @@
 """Long exact spans shared between records: seed and extend.
 
 Every window of SPAN code points holds a winnowed anchor, the least hash among its SEED-grams; equal windows have equal
-anchors.  Documents are joined on anchors that occur in more than one of them.  Only there are windows extended to both
-sides of the anchor to the full span, as a fingerprint of all SPAN code points, and windows met in more than one document
-are kept; overlapping ones are united to maximal stretches.  Extension goes by fingerprint groups (least and greatest
-document of a group, aggregated map-side) and not by pairs, so a passage in a third of all documents costs as many rows as
-it has places, never their square.
+anchors.  Documents are joined on anchors that occur in more than one of them.  There the anchor is extended to both sides
+as far as it stays the anchor: to a run of windows, one row with its text.  Runs are compared by their texts; a run that
+two documents share is shared as a whole.  Only where one anchor stands in different runs (at the ends of passages) are
+the windows of each distinct run compared alone, by two independent 64-bit hashes, of anchor and window.  What is shared
+goes back to all places of the run's text, and overlapping pieces are united to maximal stretches.  Grouping keeps the
+least and greatest document of a text, aggregated map-side, and never pairs: a passage in a third of all documents costs as
+many rows as it has places.
 """
 
 from __future__ import annotations
@@ -18,8 +20,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from brackwater.shared import written
+
 SPAN, SEED = 200, 120
 BLOCK = 400_000  # code points that are hashed at once; longer texts go in overlapping blocks
+RUN = 200  # windows of a run at most; longer ones (of periodic texts) are cut
 _SEED_BASE, _SPAN_BASE = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
 
 
@@ -111,36 +116,72 @@ def _seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(least[keep].view(np.int64)), pa.array(doc[row[keep]])], names=["seed", "doc_id"])
 
 
-def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def run_starts(least: np.ndarray, row: np.ndarray) -> np.ndarray:
+    """Where a run of windows of one text with one anchor begins; long runs are cut every RUN windows."""
+    fresh = np.r_[True, (least[1:] != least[:-1]) | (row[1:] != row[:-1])]
+    first = np.flatnonzero(fresh)
+    since = np.arange(len(least)) - np.repeat(first, np.diff(np.r_[first, len(least)]))
+    return np.flatnonzero(since % RUN == 0)
+
+
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        doc = b.column(0).to_numpy()
+        doc, texts = b.column(0).to_numpy(), b.column(1).to_pylist()
         lists = b.column(2)
         flat, ends = lists.flatten().to_numpy(), lists.offsets.to_numpy() - lists.offsets[0].as_py()
-        for codes, row, place in blocks(b.column(1).to_pylist()):
+        for codes, row, place in blocks(texts):
             least = anchors(codes).view(np.int64)
-            full = grams(codes, SPAN, _SPAN_BASE).view(np.int64)
             row, place = row[:len(least)], place[:len(least)]
-            shared = np.zeros(len(least), bool)
-            cut = np.r_[0, np.flatnonzero(np.diff(row)) + 1, len(row)]
+            at = run_starts(least, row)
+            size = np.diff(np.r_[at, len(least)])
+            shared = np.zeros(len(at), bool)
+            owner = row[at]
+            cut = np.r_[0, np.flatnonzero(np.diff(owner)) + 1, len(owner)]
             for a, z in zip(cut[:-1], cut[1:], strict=True):
-                if (r := row[a]) >= 0:
-                    shared[a:z] = np.isin(least[a:z], flat[ends[r]:ends[r + 1]])
-            yield pa.RecordBatch.from_arrays([pa.array(least[shared]), pa.array(full[shared]), pa.array(doc[row[shared]]), pa.array(place[shared])], names=["seed", "full", "doc_id", "at"])
+                if (r := owner[a]) >= 0:
+                    shared[a:z] = np.isin(least[at[a:z]], flat[ends[r]:ends[r + 1]])
+            at, size, owner = at[shared], size[shared], owner[shared]
+            start = place[at]
+            cells = [texts[r][s:s + n + SPAN - 1] for r, s, n in zip(owner.tolist(), start.tolist(), size.tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(least[at]), pa.array(cells, pa.string()), pa.array(doc[owner]), pa.array(start), pa.array(size)], names=["seed", "run", "doc_id", "at", "n"])
+
+
+def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        seed, least, most, rid = (b.column(i).to_numpy() for i in (0, 2, 3, 4))
+        for codes, row, place in blocks(b.column(1).to_pylist()):
+            full = grams(codes, SPAN, _SPAN_BASE).view(np.int64)
+            keep = row[:len(full)] >= 0
+            r = row[:len(full)][keep]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (seed[r], full[keep], least[r], most[r], rid[r], place[:len(full)][keep])], names=["seed", "full", "least", "most", "rid", "off"])
 
 
-def shared_windows(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, at): every place of a text whose next SPAN code points occur in the text of another document."""
+def shared_runs(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, at, n): n consecutive places of a text, from `at` on, whose next SPAN code points occur in another document."""
     slim = documents.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
     texts = slim.where(F.col("doc_id").isNotNull() & (F.char_length("text") >= SPAN))
     seeds = texts.mapInArrow(_seeds, "seed bigint, doc_id bigint")
-    ends = [F.min("doc_id").alias("_least"), F.max("doc_id").alias("_most")]
-    common = seeds.groupBy("seed").agg(*ends).where("_least < _most").select(F.col("seed").alias("_seed"))
+    common = seeds.groupBy("seed").agg(F.min("doc_id").alias("_least"), F.max("doc_id").alias("_most")).where("_least < _most").select(F.col("seed").alias("_seed"))
     of_doc = (seeds.distinct().join(common, F.col("seed") == F.col("_seed")).groupBy("doc_id").agg(F.collect_set("seed").alias("seeds"))
               .withColumnRenamed("doc_id", "_doc"))
-    extended = (texts.join(of_doc, F.col("doc_id") == F.col("_doc")).select("doc_id", "text", "seeds")
-                .mapInArrow(_windows, "seed bigint, full bigint, doc_id bigint, at bigint"))
-    repeated = extended.groupBy("seed", "full").agg(*ends).where("_least < _most").select(F.col("seed").alias("_seed"), F.col("full").alias("_full"))
-    return extended.join(repeated, (F.col("seed") == F.col("_seed")) & (F.col("full") == F.col("_full"))).select("doc_id", "at")
+    runs = (texts.join(of_doc, F.col("doc_id") == F.col("_doc")).select("doc_id", "text", "seeds")
+            .mapInArrow(_runs, "seed bigint, run string, doc_id bigint, at bigint, n bigint").withColumn("rid", F.xxhash64("run")))
+    runs = written(runs, "runs")
+    distinct = runs.groupBy("seed", "rid", "run").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), F.min("n").alias("n"))
+    distinct = written(distinct, "distinct-runs")
+    columns = [F.col("seed").alias("_seed"), F.col("rid").alias("_rid")]
+    whole = distinct.where("least < most").select(*columns, F.lit(0).cast("long").alias("_off"), F.col("n").alias("_n"))
+    mixed = distinct.groupBy("seed").agg(F.count("*").alias("_texts")).where("_texts > 1").select(F.col("seed").alias("_seed"))
+    ends = distinct.join(mixed, F.col("seed") == F.col("_seed")).select("seed", "run", "least", "most", "rid").mapInArrow(
+        _windows, "seed bigint, full bigint, least bigint, most bigint, rid bigint, off bigint")
+    repeated = (ends.groupBy("seed", "full").agg(F.min("least").alias("_least"), F.max("most").alias("_most")).where("_least < _most")
+                .select(F.col("seed").alias("_seed"), F.col("full").alias("_full")))
+    # Windows of runs that are shared as a whole only stand for others here.
+    places = ends.where("least = most").join(repeated, (F.col("seed") == F.col("_seed")) & (F.col("full") == F.col("_full"))).select("seed", "rid", "off").distinct()
+    island = F.col("off") - F.row_number().over(Window.partitionBy("seed", "rid").orderBy("off"))  # at most RUN rows a run
+    pieces = places.withColumn("_island", island).groupBy("seed", "rid", "_island").agg(F.min("off").alias("_off"), F.count("*").alias("_n")).select(*columns, "_off", "_n")
+    met = runs.select("seed", "rid", "doc_id", "at").join(whole.unionByName(pieces), (F.col("seed") == F.col("_seed")) & (F.col("rid") == F.col("_rid")))
+    return met.select("doc_id", (F.col("at") + F.col("_off")).alias("at"), F.col("_n").alias("n"))
 
 
 def found(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -149,11 +190,12 @@ def found(documents: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     Defined cases: null, empty and shorter texts have no span; copies under the same doc_id are the same document and do
     not make a span shared; rows without doc_id are left out; stretches that touch are one.
     """
-    along = Window.partitionBy("doc_id").orderBy("at")
-    places = shared_windows(documents, key, text).distinct()
-    fresh = (F.coalesce(F.col("at") - F.lag("at").over(along), F.lit(SPAN + 1)) > SPAN).cast("int")
-    united = places.withColumn("_new", fresh).withColumn("_no", F.sum("_new").over(along.rowsBetween(Window.unboundedPreceding, 0)))
-    return united.groupBy("doc_id", "_no").agg(F.min("at").alias("span_start"), (F.max("at") - F.min("at") + SPAN).alias("span_chars")).drop("_no")
+    along = Window.partitionBy("doc_id").orderBy("at", "last")
+    pieces = shared_runs(documents, key, text).select("doc_id", "at", (F.col("at") + F.col("n") - 1).alias("last")).distinct()
+    reach = F.max("last").over(along.rowsBetween(Window.unboundedPreceding, -1))
+    fresh = (F.coalesce(F.col("at") - reach, F.lit(SPAN + 1)) > SPAN).cast("int")
+    united = pieces.withColumn("_new", fresh).withColumn("_no", F.sum("_new").over(along.rowsBetween(Window.unboundedPreceding, 0)))
+    return united.groupBy("doc_id", "_no").agg(F.min("at").alias("span_start"), (F.max("last") - F.min("at") + SPAN).alias("span_chars")).drop("_no")
 
 
 def shares(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
