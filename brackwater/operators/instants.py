@@ -7,9 +7,10 @@ proleptic Gregorian day formula, and zone rules are applied last.  Everything st
 
 from __future__ import annotations
 
+import zoneinfo
 from functools import cache
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -32,13 +33,14 @@ _DATE = "|".join([
     rf"(?<n5>{_MON})\.?\s+(?<d5>\d{{1,2}}),?\s+(?<y5>\d{{4}})",
     rf"(?<d6>\d{{1,2}})\.?\s+(?<n6>{_MON})\.?,?\s+(?<y6>\d{{4}})",
 ])
-_TIME = r"(?:(?<kp>오전|오후)\s*)?(?<h>\d{1,2}):(?<mi>\d{2})(?::(?<s>\d{2})(?:[.,](?<f>\d{1,9}))?)?(?:\s*(?<ap>[ap])\.?m\.?)?"
-_ZONE = r"(?:\s*(?<zo>[+-]\d{2}(?::?\d{2})?)|\s*(?<zn>z|[a-z]{2,5}|[a-z]+/[a-z_/]+))?"
+_TIME = r"(?:(?<kp>오전|오후)\s*)?(?<h>\d{1,2}):(?<mi>\d{2})(?::(?<s>\d{2})(?:[.,](?<f>\d{1,9}))?)?(?:\s*(?<ap>[ap])\.?m\.?(?![a-z]))?"
+_ZONE = r"(?:\s*(?<zo>[+-]\d{2}(?::?\d{2})?)|\s*(?<zn>z|[a-z]{2,5}|[a-z]+/[a-z0-9_+\-/]+))?"
 _EPOCH = r"(?<e>\d{10}|\d{13}|\d{16})(?:\.(?<ef>\d+))?"
 PATTERN = rf"(?i)^[\p{{Z}}\s\x{{FEFF}}]*(?:(?:{_DATE})(?:T|\s+){_TIME}{_ZONE}|{_EPOCH})[\p{{Z}}\s]*$"
-_GROUPS = "y1 m1 d1 m2 d2 a3 b3 y3 y7 m7 d7 y4 m4 d4 n5 d5 y5 d6 n6 y6 kp h mi s f ap zo zn e ef".split()
+# Of the alternatives one takes part, so groups of the same meaning stand side by side in the template.
+_PARTS = ["y1 y3 y7 y4 y5 y6", "m1 m2 m7 m4", "n5 n6", "d1 d2 d7 d4 d5 d6", "a3", "b3", "h", "mi", "s", "f", "kp ap", "zo", "zn", "e", "ef"]
 _MARK = "\u0001"
-_TEMPLATE = _MARK + _MARK.join("${" + g + "}" for g in _GROUPS)
+_TEMPLATE = _MARK + _MARK.join("".join("${" + g + "}" for g in p.split()) for p in _PARTS)
 
 
 def days_from_civil(y: Column, m: Column, d: Column) -> Column:
@@ -57,9 +59,15 @@ def valid_date(y: Column, m: Column, d: Column) -> Column:
 
 @cache
 def zone_ids() -> list[str]:
-    """Names of the zones whose rules the engine has."""
-    jvm = SparkSession.active()._jvm
-    return sorted(jvm.java.lang.String.join(" ", jvm.java.time.ZoneId.getAvailableZoneIds()).split())
+    """Names of the zones whose rules the engine has: region names, and the names without region that the project's files may use."""
+    return sorted(zoneinfo.available_timezones())
+
+
+def region(name: Column) -> Column:
+    """The zone that a name means, whatever its letter case; null for an unknown one."""
+    ids = zone_ids()
+    folded = F.create_map(*[F.lit(x) for i in ids if "/" in i for x in (i.lower(), i)])
+    return F.when(name.isin(ids), name).when(F.lower(name).isin([i.lower() for i in ids if "/" in i]), F.try_element_at(folded, F.lower(name)))
 
 
 def _once(x: Column) -> Column:
@@ -69,38 +77,43 @@ def _once(x: Column) -> Column:
 
 def components(df: DataFrame, text: str) -> DataFrame:
     """Add the integers that `text` spells out: _y _m _d (where the form fixes them), _a _b (slash dates), _h _half _mi _s
-    _us, _off (minutes, where the text has a zone), _zoned, _nameless (no year) and _epoch (bare numbers, microseconds)."""
-    keep = df.columns
+    _us, _off (minutes, where the text has an offset or abbreviation), _region (where it names one), _zoned, _nameless (no year) and _epoch (bare numbers, microseconds)."""
     raw = F.regexp_replace(F.col(text), PATTERN, _TEMPLATE)
-    df = df.withColumn("_g", F.when(raw.startswith(_MARK), F.split(raw, _MARK)))
-    g = {n: F.nullif(F.col("_g")[i + 1], F.lit("")) for i, n in enumerate(_GROUPS)}
-    num = lambda *names: F.coalesce(*[g[n] for n in names]).cast("int")
-    named = F.lower(F.substring(F.coalesce(g["n5"], g["n6"]), 1, 3))
-    month_name = F.nullif(F.array_position(F.array(*[F.lit(x) for x in MONTHS]), named).cast("int"), F.lit(0))
-    sign = F.when(F.substring(g["zo"], 1, 1) == "-", -1).otherwise(1)
-    digits = F.regexp_replace(g["zo"], "[^0-9]", "")
-    minutes = F.coalesce(F.nullif(F.substring(digits, 3, 2), F.lit("")).cast("int"), F.lit(0))
-    offset = F.when(g["zo"].isNotNull() & (minutes < 60), sign * (F.substring(digits, 1, 2).cast("int") * 60 + minutes))
+    df = df.withColumn("_raw", _once(raw)).withColumn("_g", _once(F.when(F.col("_raw").startswith(_MARK), F.split("_raw", _MARK)))).drop("_raw")
+    y, m, name, d, a, b, h, mi, s, f, half, zo, zn, e, ef = (F.col("_g")[i + 1] for i in range(len(_PARTS)))
+    num = lambda x: F.when(x != "", x.cast("int"))
+    month_name = F.when(name != "", F.array_position(F.array(*[F.lit(x) for x in MONTHS]), F.lower(F.substring(name, 1, 3))).cast("int"))
+    sign = F.when(zo.startswith("-"), -1).otherwise(1)
+    digits = F.translate(zo, "+-:", "")
+    minutes = F.coalesce(num(F.substring(digits, 3, 2)), F.lit(0))
+    offset = F.when((zo != "") & (minutes < 60), sign * (F.substring(digits, 1, 2).cast("int") * 60 + minutes))
     names = F.create_map(*[x for k, v in ZONES.items() for x in (F.lit(k), F.lit(v))])
-    scale = F.when(F.length(g["e"]) == 10, 6).when(F.length(g["e"]) == 13, 3).otherwise(0)
-    return df.select(
-        *keep, num("y1", "y3", "y7", "y4", "y5", "y6").alias("_y"), F.coalesce(num("m1", "m2", "m7", "m4"), month_name).alias("_m"),
-        num("d1", "d2", "d7", "d4", "d5", "d6").alias("_d"), num("a3").alias("_a"), num("b3").alias("_b"), num("h").alias("_h"),
-        F.coalesce(F.when(g["kp"] == "오전", 0).when(g["kp"] == "오후", 1), F.when(F.lower(g["ap"]) == "a", 0).when(F.lower(g["ap"]) == "p", 1)).alias("_half"),
-        num("mi").alias("_mi"), F.coalesce(num("s"), F.lit(0)).alias("_s"), F.coalesce(F.substring(F.rpad(g["f"], 9, "0"), 1, 6).cast("int"), F.lit(0)).alias("_us"),
-        F.coalesce(offset, F.try_element_at(names, F.upper(g["zn"]))).alias("_off"), (g["zo"].isNotNull() | g["zn"].isNotNull()).alias("_zoned"), g["m2"].isNotNull().alias("_nameless"),
-        F.concat(g["e"], F.substring(F.rpad(F.coalesce(g["ef"], F.lit("")), 6, "0"), F.lit(1), scale)).cast("long").alias("_epoch"))
+    abbreviation = F.when((zn != "") & ~F.contains(zn, F.lit("/")), F.try_element_at(names, F.upper(zn)))
+    scale = F.when(F.length(e) == 10, 6).when(F.length(e) == 13, 3).otherwise(0)
+    # In several steps, each small enough to be compiled as a whole.
+    steps: list[dict[str, Column]] = [
+        {"_y": num(y), "_m": F.coalesce(num(m), month_name), "_d": num(d), "_a": num(a), "_b": num(b), "_nameless": (y == "") & (m != "")},
+        {"_h": num(h), "_half": F.when(half == "", None).when((half == "오전") | (F.lower(half) == "a"), 0).otherwise(1), "_mi": num(mi), "_s": F.coalesce(num(s), F.lit(0)),
+         "_us": F.when(f == "", 0).otherwise(F.substring(F.rpad(f, 9, "0"), 1, 6).cast("int"))},
+        {"_off": F.coalesce(offset, abbreviation), "_region": F.when(F.contains(zn, F.lit("/")), region(zn)), "_zoned": (zo != "") | (zn != ""),
+         "_epoch": F.when(e != "", F.concat(e, F.substring(F.rpad(ef, 6, "0"), F.lit(1), scale)).try_cast("long"))},
+    ]
+    for step in steps:
+        df = df.withColumns({k: _once(v) for k, v in step.items()})
+    return df.drop("_g")
 
 
 def instants(df: DataFrame, day_first: str, zone: str, chunk_key: str, year_hint: str, out: str) -> DataFrame:
     """Add `out`, the instant of the `components` in microseconds since 1970 UTC, null where they name none.
 
-    day_first: column 'dmy' or 'mdy' for dates with slashes; zone: column with the zone of local times; chunk_key: local
+    day_first: column 'dmy' or 'mdy' for dates with slashes; zone: column with the zone of local times, a
+    name that `region` gives; chunk_key: local
     YYYY-MM-DD_HH-MM-SS near the row, source of a missing year; year_hint: the year to take where there is no chunk key.
     Defined cases: null, empty and unknown texts, dates not on the calendar, local times without zone or in a gap of
-    their zone give null; repeated local times give the earlier instant; unknown zone names give null.
+    their zone give null; repeated local times give the earlier instant; unknown zone names give null.  A zone in the text
+    counts before that of the column, as an offset, an abbreviation with its usual offset, or a region with its rules.
     """
-    own = [c for c in df.columns if c not in {"_y", "_m", "_d", "_a", "_b", "_h", "_half", "_mi", "_s", "_us", "_off", "_zoned", "_nameless", "_epoch"}]
+    own = [c for c in df.columns if c not in {"_y", "_m", "_d", "_a", "_b", "_h", "_half", "_mi", "_s", "_us", "_off", "_region", "_zoned", "_nameless", "_epoch"}]
     dmy, mdy = F.col(day_first) == "dmy", F.col(day_first) == "mdy"
     month = F.coalesce(F.col("_m"), F.when(dmy, F.col("_b")).when(mdy, F.col("_a")))
     day = F.coalesce(F.col("_d"), F.when(dmy, F.col("_a")).when(mdy, F.col("_b")))
@@ -115,23 +128,24 @@ def instants(df: DataFrame, day_first: str, zone: str, chunk_key: str, year_hint
     ok = valid_date(y, m, d) & h.isNotNull() & (F.col("_mi") < 60) & (F.col("_s") < 60)
     local = F.when(ok, (((days_from_civil(y, m, d).cast("long") * 24 + h) * 60 + F.col("_mi")) * 60 + F.col("_s")) * 1_000_000 + F.col("_us"))
     # Zone rules: an unknown name must not raise, a repeated local time means the earlier instant, a skipped one none.
-    known = F.when(F.col(zone).isin(zone_ids()), F.col(zone))
+    known = F.when(F.col("_epoch").isNull() & F.col("_off").isNull(), F.when(F.col("_zoned"), F.col("_region")).otherwise(F.col(zone)))
     df = df.withColumns({"_local": _once(local), "_known": _once(known)})
     stamp = F.timestamp_micros(F.col("_local"))
     df = df.withColumn("_at", _once(F.to_utc_timestamp(stamp, F.col("_known"))))
     ruled = F.when(F.from_utc_timestamp(F.col("_at"), F.col("_known")) == stamp, F.unix_micros(F.col("_at")))
-    by_rule = F.when(F.col("_zoned"), F.col("_local") - F.col("_off").cast("long") * 60_000_000).otherwise(ruled)
+    by_rule = F.when(F.col("_off").isNotNull(), F.col("_local") - F.col("_off").cast("long") * 60_000_000).otherwise(ruled)
     return df.select(*own, _once(F.when(F.col("_epoch").isNotNull(), F.col("_epoch")).otherwise(by_rule)).alias(out))
 
 
 def normalise(df: DataFrame, text: str, day_first: str, zone: str, chunk_key: str, year_hint: str, out: str) -> DataFrame:
+    df = df.withColumn(zone, region(F.col(zone)))
     return instants(components(df, text), day_first, zone, chunk_key, year_hint, out)
 
 
 def found(rows: DataFrame, files: DataFrame) -> DataFrame:
     """(row_id, utc_us) of every row whose time names one instant; a file listed twice counts once."""
     one = files.where(F.col("file_id").isNotNull()).groupBy("file_id").agg(F.min(F.struct("uploaded_at", "log_zone", "date_order", "year_hint")).alias("_f"))
-    one = one.select(F.col("file_id").alias("_file"), "_f.log_zone", "_f.date_order", "_f.year_hint")
+    one = one.select(F.col("file_id").alias("_file"), region(F.col("_f.log_zone")).alias("log_zone"), "_f.date_order", "_f.year_hint")
     slim = components(rows.select("row_id", "file_id", "ts_raw", "chunk_key"), "ts_raw").drop("ts_raw")
     with_file = slim.join(one, slim["file_id"] == one["_file"], "left")
     return instants(with_file, "date_order", "log_zone", "chunk_key", "year_hint", "utc_us").where(F.col("utc_us").isNotNull()).select("row_id", "utc_us")

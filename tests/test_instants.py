@@ -28,6 +28,8 @@ CASES = [
     ("none", "1700000000.25", None, 1_700_000_000_250_000), ("none", "1700000000123", None, 1_700_000_000_123_000), ("none", "1700000000123456", None, 1_700_000_000_123_456), ("utc", "170000000", None, None),
     ("utc", "12-31 23:59:59", "2025-01-01_00-00-10", us(2024, 12, 31, 23, 59, 59)), ("utc", "01-01 00:00:01", "2024-12-31_23-59-00", us(2025, 1, 1, 0, 0, 1)), ("utc", "06-01 00:00:01", None, us(2020, 6, 1, 0, 0, 1)),
     ("ny", "06-01 00:00:01", None, None), ("utc", "06-01 00:00:01", "nonsense", us(2020, 6, 1, 0, 0, 1)), ("utc", "2024-01-05 24:00:00", None, None), ("utc", "2024-01-05 23:60:00", None, None),
+    ("none", "2024-03-01 10:00:00 Europe/Berlin", None, us(2024, 3, 1, 9)), ("utc", "2024-03-01 10:00:00 asia/seoul", None, us(2024, 3, 1, 1)), ("none", "2024-03-01 10:00:00 America/Argentina/Buenos_Aires", None, us(2024, 3, 1, 13)),
+    ("none", "2024-03-31 02:30:00 Europe/Berlin", None, None), ("utc", "2024-03-01 10:00:00 Mars/Base", None, None), ("none", "2024-03-01 10:00 Etc/GMT+3", None, us(2024, 3, 1, 13)),
     ("utc", "", None, None), ("utc", "   ", None, None), ("utc", "unset", None, None), ("utc", None, None, None), (None, "2024-01-05 01:00:00Z", None, us(2024, 1, 5, 1)), ("utc", "2024-01-05 01:00:00 " + "x" * 5_000, None, None),
 ]
 
