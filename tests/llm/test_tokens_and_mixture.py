@@ -92,3 +92,16 @@ def test_mixture_edge_cases(spark):
     assert {(r["source"], r["m"]) for r in per} == {("big", 1), ("small", 3)}
     nothing = spark.createDataFrame([], SCHEMA)
     assert mixing.mixture(nothing, mix).count() == 0 and mixing.shares(nothing, mix).where("tokens > 0").count() == 0
+
+
+def test_draw_in_proportion_to_size(spark):
+    text = lambda n: "a" + " a" * (n - 1)
+    docs = spark.createDataFrame([(i, text(1 + 9 * (i % 2)), "s", "c", "c", "c") for i in range(4_000)] + [(9_000, text(4_000), "s", "c", "c", "c"), (9_001, text(5_000), "t", "c", "c", "c")], SCHEMA)
+    mix = spark.createDataFrame([("s", 0.4, 1), ("t", 0.1, 1)], "source string, target_share double, max_repeats int")
+    rows = mixing.mixture(docs, mix).where("source = 's'").collect()
+    taken = {n: sum(r["n_tokens"] == n for r in rows) for n in (1, 10, 4_000)}
+    rest = 0.4 * (2_000 + 20_000 + 4_000 + 5_000) - 4_000
+    c = rest / (2_000 + 200_000)
+    assert taken[4_000] == 1  # larger than any share of the draw: certain
+    assert abs(taken[1] - 2_000 * c) < 4 * (2_000 * c) ** 0.5 and abs(taken[10] - 20_000 * c) < 4 * (20_000 * c) ** 0.5
+    assert abs(sum(r["n_tokens"] for r in rows) - rest - 4_000) <= 10
