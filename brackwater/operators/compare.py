@@ -38,6 +38,19 @@ def one_cell(df: DataFrame, condition: Column, column: str):
     return rows[0][0]
 
 
+def unique_cells(cells: DataFrame, keys: list[str], column: str) -> DataFrame:
+    """(keys, column, outcome): the cell of every key that has exactly one, else null with outcome none or many."""
+    n = cells.groupBy(*keys).agg(F.count(column).alias("_n"), F.min(column).alias("_cell"))
+    outcome = F.when(F.col("_n") == 1, "one").when(F.col("_n") == 0, "none").otherwise("many")
+    return n.select(*keys, F.when(F.col("_n") == 1, F.col("_cell")).alias(column), outcome.alias("outcome"))
+
+
+def untraceable(printed: DataFrame, cells: DataFrame, keys: list[str], digits: int) -> DataFrame:
+    """(keys, printed, cell): printed numbers that their declared cell does not give at the printed precision, or that have none."""
+    both = printed.join(cells, keys, "left")
+    return both.where(~F.round("printed", digits).eqNullSafe(F.round("cell", digits))).select(*keys, "printed", "cell")
+
+
 def digest(df: DataFrame) -> DataFrame:
     """(rows_in, digest): content digest of a table that does not depend on order; one aggregate, combined map-side."""
     return df.agg(F.count("*").alias("rows_in"), F.bit_xor(F.xxhash64(*df.columns)).alias("digest"))

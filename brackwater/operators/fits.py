@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,8 +23,14 @@ def boosted(train: DataFrame, test: DataFrame, features: list[str], target: str,
     return model.transform(pack.transform(test)).drop("_x")
 
 
-def predict(rows: DataFrame, model: object, call: Callable[[object, pd.DataFrame], pd.Series], features: list[str]) -> DataFrame:
-    """Any fitted model over Arrow batches; the model is broadcast once and must be small enough for that."""
+MODEL_BYTES = 64 << 20
+
+
+def predict(rows: DataFrame, model: object, call: Callable[[object, pd.DataFrame], pd.Series], features: list[str], most_bytes: int = MODEL_BYTES) -> DataFrame:
+    """Any fitted model over Arrow batches; the model is broadcast once, and refused if its pickle is larger than allowed."""
+    size = len(cloudpickle.dumps(model))
+    if size > most_bytes:
+        raise ValueError(f"a model of {size} bytes is not broadcast; {most_bytes} are allowed")
     held = rows.sparkSession.sparkContext.broadcast(model)
 
     def work(batches):

@@ -48,7 +48,7 @@ def _(spark, d):
     return made(spark, d).select("target_row", F.col("steps")[1]["p"][1].alias("s1_p2"), F.col("steps")[3]["p"][3].alias("s3_p4"))
 
 
-@query("C18_gap_bins", f"with {_STEP} select case when step < 0 then 'overlap' when step <= 5 then '0-5 s' when step <= 60 then '5-60 s' when step <= 1800 then '60-1800 s' when step <= 7200 then '1800-7200 s' else '> 7200 s' end as bin, count(*) as n from st where step is not null group by 1")
+@query("C18_gap_bins", f"with {_STEP} select case when step < 0 then 'overlap' when step <= 10 then '0-10s' when step <= 60 then '10-60s' when step <= 300 then '60-300s' when step <= 1800 then '300-1800s' when step <= 7200 then '1800-7200s' else '>7200s' end as bin, count(*) as n from st where step is not null group by 1")
 def _(spark, d):
     return steps(spark, d).where("step is not null").groupBy(scalars.gap_bin(F.col("step")).alias("bin")).agg(F.count("*").alias("n"))
 

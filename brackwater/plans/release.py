@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from brackwater.functions import scalars
 from brackwater.operators import compare
 from brackwater.plans.views import PLACED, PREDICTED, SENSOR, P, placed, predicted, sensor
 from brackwater.shared import table
@@ -81,16 +82,6 @@ def _(spark, d):
     return wide.select("row_id", "seed", F.col("temperature").alias("temperature_p"), F.col("humidity").alias("humidity_p"))
 
 
-@query("B06_text_digest", "select file_id, line_no, sha256(line) as digest from raw_lines where line is not null")
-def _(spark, d):
-    return table(spark, d, "raw_lines").where("line is not null").select("file_id", "line_no", F.sha2("line", 256).alias("digest"))
-
-
-@query("B07_normalised_digest", "select line_id, sha256(replace(line, chr(13), '')) as digest from raw_lines where line is not null")
-def _(spark, d):
-    return table(spark, d, "raw_lines").where("line is not null").select("line_id", F.sha2(F.replace(F.col("line"), F.lit("\r"), F.lit("")), 256).alias("digest"))
-
-
 @query("B08_table_digest")
 def _(spark, d):
     return compare.digest(table(spark, d, "upload_records"))
@@ -233,10 +224,10 @@ def _(spark, d):
     return table(spark, d, "sensor_rows").groupBy("device_id").agg(F.count("*").alias("n"), F.count_if(t.isNull()).alias("missing"), F.count_if(t == 0).alias("zero"), F.count_if(~t.between(-10, 60)).alias("extreme"), F.count_distinct(t).alias("n_values"))
 
 
-@query("R16_control_flag", "select event_raw, regexp_matches(event_raw, '(AHON|AHOF|FAN|LED)') as control, count(*) as n from sensor_rows where event_raw is not null group by 1")
+@query("R16_control_flag", f"select event_raw, regexp_matches(event_raw, '{'|'.join(scalars.CONTROL_WORDS)}') as control, count(*) as n from sensor_rows where event_raw is not null group by 1")
 def _(spark, d):
     e = table(spark, d, "sensor_rows").where("event_raw is not null").groupBy("event_raw").agg(F.count("*").alias("n"))
-    return e.select("event_raw", F.col("event_raw").rlike("(AHON|AHOF|FAN|LED)").alias("control"), "n")
+    return e.select("event_raw", scalars.is_control(F.col("event_raw")).alias("control"), "n")
 
 
 @query("R17_edges", f"with {PLACED} select subject_id, device_id, session, count(*) filter (where row_id < a) as leading, count(*) filter (where row_id > b) as trailing, count(*) filter (where row_id between a and b and event_raw = 'LM') as inner_plain from placed join (select subject_id, device_id, session, min(row_id) as a, max(row_id) as b from placed where event_raw <> 'LM' group by all) x using (subject_id, device_id, session) group by 1, 2, 3")

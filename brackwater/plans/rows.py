@@ -27,11 +27,8 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return keep
 
 
-_KIND = r"""case when line is null or {T} = '' then 'blank' when regexp_matches({T}, '^[,;\s]+$') then 'empty_row'
-  when regexp_matches({T}, '^[\[\]{}",]+$') then 'json_struct' when regexp_matches({T}, '^"\d{4}-\d{2}-\d{2}_\d{2}-\d{2}-\d{2}"\s*:') then 'json_chunk_key'
-  when regexp_matches({T}, '^"[^"]*"\s*:') then 'json_root_key' when regexp_matches({T}, '^\d{2,4}-\d{2}') then 'data'
-  when starts_with({T}, '[NVS]') then 'nvs_log' when regexp_matches({T}, '(?i)^(backtrace|guru meditation)') then 'crash_dump'
-  when regexp_matches({T}, '^\d') then 'malformed_data' else 'device_log' end""".replace("{T}", "trim(line, chr(32) || chr(9) || chr(13) || chr(10))")
+_TRIMMED = "coalesce(trim(line, chr(32) || chr(9) || chr(13) || chr(10)), '')"
+_KIND = "case " + " ".join(f"when regexp_matches({_TRIMMED}, '{pattern}') then '{kind}'" for kind, pattern in scalars.LINE_KINDS) + " else 'device_log' end"
 
 
 @query("C01_line_kind", f"select file_id, {_KIND} as kind, count(*) as n from raw_lines group by all")
@@ -153,7 +150,7 @@ def _(spark, d):
     return s.join(anchors, "subject_id").select("row_id", scalars.night_key(F.col("ts_s"), F.col("anchor")).alias("night_key"))
 
 
-@query("C17_relative_time", f"with {SENSOR}, r as (select row_id, ts_s - 1704067200 as x from s) select row_id, 'D' || lpad((x // 86400)::varchar, 4, '0') || ' ' || lpad(((x % 86400) // 3600)::varchar, 2, '0') || ':' || lpad(((x % 3600) // 60)::varchar, 2, '0') || ':' || lpad((x % 60)::varchar, 2, '0') as relative, x as seconds from r")
+@query("C17_relative_time", f"with {SENSOR}, r as (select row_id, ts_s - 1704067200 as x from s) select row_id, 'D' || lpad((x // 86400 + 1)::varchar, 4, '0') || ' ' || lpad(((x % 86400) // 3600)::varchar, 2, '0') || ':' || lpad(((x % 3600) // 60)::varchar, 2, '0') || ':' || lpad((x % 60)::varchar, 2, '0') as relative, x as seconds from r")
 def _(spark, d):
     text = sensor(spark, d).select("row_id", scalars.relative(F.col("ts_s") - 1_704_067_200).alias("relative"))
     return text.withColumn("seconds", scalars.relative_seconds(F.col("relative")))

@@ -30,7 +30,8 @@ def _lines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for path, content in zip(pdf["path"], pdf["content"], strict=True):
             text, encoding = decode(bytes(content))
             key, rows = None, []
-            for i, line in enumerate(text.split("\n"), 1):
+            lines = text.split("\n")
+            for i, line in enumerate(lines[:-1] if lines[-1] == "" else lines, 1):  # a line end at the end of the file begins no line
                 if m := _CHUNK.match(line):
                     key = m[1]
                 rows.append((path, encoding, bytes(content[:3]) == b"\xef\xbb\xbf", i, line, key))
