@@ -87,12 +87,15 @@ def ingest(lines: DataFrame, files: DataFrame, aliases: DataFrame) -> DataFrame:
     """Every data line as one row of TARGET plus `rescued`, a JSON object of unknown fields, uncastable values and surplus.
 
     Defined cases: null lines and lines that are no data are left out; a file without any header in force, or one that is
-    not listed, puts the whole line into `rescued`; empty values are null; a field named twice keeps its first value.
+    not listed, puts the whole line into `rescued`; empty values are null; later values of a field named
+    twice are rescued as field_2, field_3 and so on.
     """
     forced = header_in_force(files)
     header = forced.select("file_id", F.col("in_force").alias("headers"), F.lit(None).cast("string").alias("field_types"), "sep")
     layout = (header_fields(header, aliases).groupBy("file_id").agg(F.array_sort(F.collect_list(F.struct("pos", "field"))).alias("_layout"))
-              .select(F.col("file_id").alias("_file"), F.transform("_layout", lambda x: x["field"]).alias("_fields")))
+              .select(F.col("file_id").alias("_file"), F.transform("_layout", lambda x: x["field"]).alias("_named")))
+    times = lambda x, i: F.size(F.filter(F.slice("_named", F.lit(1), i + 1), lambda y: y == x))
+    layout = layout.select("_file", F.transform("_named", lambda x, i: F.when(times(x, i) > 1, F.concat_ws("_", x, times(x, i).cast("string"))).otherwise(x)).alias("_fields"))
     layout = layout.join(forced.select(F.col("file_id").alias("_f2"), F.col("sep").alias("_sep")), F.col("_file") == F.col("_f2")).drop("_f2")
     data = lines.select("line_id", "file_id", "line_no", F.col("line").alias("_line")).where(F.col("_line").rlike(DATA_LINE))
     cut = data.join(layout, data["file_id"] == layout["_file"], "left").withColumn("_v", fields_of(F.col("_line"), F.col("_sep")))
@@ -117,6 +120,15 @@ def ingest(lines: DataFrame, files: DataFrame, aliases: DataFrame) -> DataFrame:
     return cut.select("line_id", "file_id", "line_no", *[v.alias(k) for k, v in typed.items()], rescued.alias("rescued"))
 
 
+# Fields that are known beside the target, and their types: approved for promotion.
+APPROVED = {"battery": "int", "rssi": "int", "uptime": "long", "fan": "int", "heater": "int", "firmware": "string"}
+
+
+def promoted(lines: DataFrame, files: DataFrame, aliases: DataFrame) -> DataFrame:
+    """The consistent table with the approved fields promoted out of `rescued`."""
+    return promote(ingest(lines, files, aliases), APPROVED)
+
+
 def promote(table: DataFrame, approved: dict[str, str]) -> DataFrame:
     """Replay rescued values of approved fields into typed columns; what still cannot be cast stays in `rescued`."""
     out = table

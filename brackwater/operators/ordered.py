@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from brackwater.shared import written
+
 
 def _match(a: DataFrame, b: DataFrame, keys: list[str]) -> Column:
     cond = F.lit(True)
@@ -66,3 +68,15 @@ def longest_true(df: DataFrame, keys: list[str], order: list[str], shard: str, f
     runs = islands(df.withColumn("_f", F.coalesce(F.col(flag), F.lit(False))), keys, order, shard, ["_f"], lambda p: p("_f") != F.col("_f"), "_run")
     sizes = runs.groupBy(*keys, "_run").agg(F.sum(F.col("_f").cast("long")).alias("_n"))
     return sizes.groupBy(*keys).agg(F.max("_n").alias("longest"))
+
+
+def global_rank(df: DataFrame, order: list[str], out: str) -> DataFrame:
+    """Add `out`, the place of each row in a total order, from 0: places inside range partitions plus the sizes of those before.
+
+    The sorted rows are written once, as both the sizes and the places must come from the same partitions.
+    """
+    ordered = written(df.orderBy(*order).withColumn("_id", F.monotonically_increasing_id()), "ranked").withColumn("_part", F.shiftright("_id", 33))
+    sizes = ordered.groupBy("_part").agg(F.count("*").alias("_size"))  # one row a partition
+    before = F.coalesce(F.sum("_size").over(Window.partitionBy().orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sizes = sizes.select(F.col("_part").alias("_p"), before.alias("_before"))
+    return ordered.join(sizes, F.col("_part") == F.col("_p")).select(*df.columns, (F.col("_before") + F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))).alias(out))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from brackwater.operators import drift, grid, instants, rejects, sessions, spikes
 from brackwater.shared import table
@@ -16,6 +17,11 @@ def _over(function: Callable[..., DataFrame], *names: str) -> Query:
     return lambda spark, sf_dir: function(*[table(spark, sf_dir, n) for n in names])
 
 
+def _rounded_grid(rows: DataFrame, specs: DataFrame) -> DataFrame:
+    grid_rows = grid.regular(rows, specs)
+    return grid_rows.select("subject_id", "device_id", "bin_start_s", "state", *[F.round(c, 6).alias(c) for c in grid.CHANNELS])
+
+
 def queries() -> dict[str, Query]:
     return {
         "p2_found": _over(rejects.found, "raw_lines", "log_files", "field_aliases"),
@@ -25,8 +31,9 @@ def queries() -> dict[str, Query]:
         "p5_found": _over(instants.found, "data_rows", "log_files"),
         "p6_found": _over(drift.changes, "log_files", "field_aliases"),
         "p6_table": _over(drift.ingest, "raw_lines", "log_files", "field_aliases"),
+        "p6_promoted": _over(drift.promoted, "raw_lines", "log_files", "field_aliases"),
         "p7_found": _over(grid.found, "sensor_rows", "window_specs"),
-        "p7_grid": _over(grid.regular, "sensor_rows", "window_specs"),
+        "p7_grid": _over(_rounded_grid, "sensor_rows", "window_specs"),
     }
 
 
@@ -68,4 +75,14 @@ b as (select *, us // (bin_s * 1000000) as k, later // (bin_s * 1000000) as k2 f
 select subject_id, device_id, (k + 1) * bin_s as from_s, k2 * bin_s as to_s,
   case when (k2 - k - 1) * bin_s <= max_gap_s then 'filled' else 'missing' end as state
 from b where k2 - k > 1""",
+        "p7_grid": f"""
+with r as (
+  select subject_id, device_id, w.bin_s, w.max_gap_s, epoch_us(ts) as us, epoch_us(ts) // (w.bin_s * 1000000) as k, {", ".join(grid.CHANNELS)}
+  from sensor_rows s join window_specs w using (spec_code) where ts is not null and coalesce({", ".join(grid.CHANNELS)}) is not null),
+b as (select subject_id, device_id, bin_s, max_gap_s, k, min(us) as lo, max(us) as hi, {", ".join(f"round(avg({c}), 6) as {c}" for c in grid.CHANNELS)} from r group by 1, 2, 3, 4, 5),
+n as (select *, lead(k) over w as k2, lead(lo) over w as lo2 from b window w as (partition by subject_id, device_id, bin_s, max_gap_s order by k)),
+g as (select *, case when k2 - k > 1 and lo2 - hi <= 1800000000 then case when (k2 - k - 1) * bin_s <= max_gap_s then 'filled' else 'missing' end end as gap from n),
+f as (select *, unnest(generate_series(k, case when gap is null then k else k2 - 1 end)) as kk from g),
+x as (select *, case when kk = k then 'observed' else gap end as state from f)
+select subject_id, device_id, kk * bin_s as bin_start_s, state, {", ".join(f"case when state <> 'missing' then {c} end as {c}" for c in grid.CHANNELS)} from x""",
     }

@@ -106,7 +106,7 @@ def _(spark, d):
     return x.select("target_row", F.col("x")[0].alias("d_p1"), F.round(F.col("x")[6], 6).alias("mean_change"))
 
 
-@query("I10_feature_sizes", f"with {WIN} select 8 as n_steps, 27 as n_features, count(*) as n_windows from win")
+@query("I10_feature_sizes", f"with {WIN} select len(steps) as n_steps, 6 + 11 + 10 as n_features, count(*) as n_windows from win group by 1")
 def _(spark, d):
     f = windows.frames(F.col("steps"))
     both = F.zip_with(F.zip_with(windows.raw(f), F.transform(f, lambda x: windows.contact(x)), lambda a, b: F.concat(a, b)), windows.movement(f), lambda a, b: F.concat(a, b).cast("array<float>"))
@@ -286,7 +286,13 @@ def _(spark, d):
     return splits.chronological(agg.ordinals(sensor(spark, d)), [0, 1, 3, 7, 14])
 
 
-@query("K05_split_checks", "select unnest(['held_out_only_tests', 'session_once', 'adapt_before_test', 'primary_equal']) as check_name, 0::bigint as violations")
+@query("K05_split_checks", f"""with {_SES}{_ORDINAL[len(SENSOR):]}, k as (select ses.*, fold, case when subject_id = fold then 'test' else 'train' end as part from ses, folds),
+b as (select *, {_PART} as part from o, (values (0), (1), (3), (7), (14)) v(budget)),
+sp as (select subject_id, budget, max(night) filter (where part = 'adapt') as a, min(night) filter (where part = 'test') as t from b group by 1, 2)
+select 'held_out_only_tests' as check_name, count(*) as violations from k where (subject_id = fold) <> (part = 'test')
+union all select 'session_once', count(*) from (select fold, subject_id, device_id, session from k group by all having count(distinct part) > 1)
+union all select 'adapt_before_test', count(*) from sp where a >= t
+union all select 'primary_equal', count(*) from (select subject_id, night from b where part = 'test' and ordinal >= 16 group by all having count(*) <> 5)""")
 def _(spark, d):
     outer = Q["K01_outer_folds"](spark, d)
     budgets = Q["K03_budgets"](spark, d)
@@ -300,7 +306,7 @@ def _(spark, d):
     })
 
 
-@query("K06_coverage_checks", f"with {_SES}, sp as (select * from ses where session % 7 <> 0) select count(*) filter (where sp.session is null) as unassigned, 0::bigint as unknown_sessions from ses left join sp using (subject_id, device_id, session)")
+@query("K06_coverage_checks", f"with {_SES}, sp as (select * from ses where session % 7 <> 0) select count(*) filter (where sp.session is null) as unassigned, count(*) filter (where ses.session is null) as unknown_sessions from ses full join sp on ses.subject_id = sp.subject_id and ses.device_id = sp.device_id and ses.session = sp.session")
 def _(spark, d):
     ses = sessions_of(spark, d)
     both = ses.withColumn("_a", F.lit(1)).join(ses.where("session % 7 <> 0").withColumn("_b", F.lit(1)), ["subject_id", "device_id", "session"], "full_outer")

@@ -10,7 +10,7 @@ from pyspark.sql.window import Window
 
 from brackwater.functions import quality, scalars
 from brackwater.operators import dedup, joins, series, splits, stats
-from brackwater.operators.ordered import islands, longest_true, neighbour
+from brackwater.operators.ordered import global_rank, islands, longest_true, neighbour
 from brackwater.plans.models import _BOOT, _ERR, _ORDINAL, _SES, WIN, bootstrap, labelled, made, sessions_of
 from brackwater.plans.rows import DUP, dup_rows
 from brackwater.plans.series import _CTX, _STEP, heater, steps
@@ -241,8 +241,7 @@ def _(spark, d):
 @query("R10_dictionary", "with c as (select distinct event_raw from sensor_rows where event_raw is not null), k as (select event_raw, row_number() over (order by event_raw) - 1 as code from c) select k.event_raw, code, count(*) as n from sensor_rows join k using (event_raw) group by 1, 2")
 def _(spark, d):
     c = table(spark, d, "sensor_rows").where("event_raw is not null").groupBy("event_raw").agg(F.count("*").alias("n"))
-    # A dictionary is one small list of distinct labels.
-    return c.select("event_raw", (F.row_number().over(Window.orderBy("event_raw")) - 1).alias("code"), "n")
+    return global_rank(c, ["event_raw"], "code").select("event_raw", "code", "n")
 
 
 @query("R13_manifest", "select file_id, min(source_id) as source_id, min(relpath) as relpath, min(n_lines) as listed_lines, coalesce(max(k), 0) as found_lines from log_files f left join (select file_id, count(*) as k from raw_lines group by 1) using (file_id) group by 1")

@@ -125,7 +125,7 @@ def _(spark, d):
     return s.where("event_raw <> 'LM'").join(a, "subject_id").select("row_id", key.alias("night_key"), (F.col("ts_s") - F.col("n0") * 86_400).alias("rel_s"), "event_raw")
 
 
-@query("P05_equivalence", "select (select count(*) from (select window_id, temperature from windows except all select window_id, temperature from windows where labelled)) as only_a, 0::bigint as only_b")
+@query("P05_equivalence", "select (select count(*) from (select window_id, temperature from windows except all select window_id, temperature from windows where labelled)) as only_a, (select count(*) from (select window_id, temperature from windows where labelled except all select window_id, temperature from windows)) as only_b")
 def _(spark, d):
     w = table(spark, d, "windows").select("window_id", "temperature", "labelled")
     a, b = w.select("window_id", "temperature"), w.where("labelled").select("window_id", "temperature")
