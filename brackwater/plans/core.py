@@ -37,6 +37,41 @@ def queries() -> dict[str, Query]:
     }
 
 
+# Header in force, fields and types of every file; lines cut at the separator outside quotes.
+_BLANK = f"[{rejects.BLANKS}]"
+_SEPARATORS = ((",", ","), (";", ";"), ("\t", "\\t"))
+
+
+def _outer(s: str) -> str:
+    return _BLANK.replace("\t", "") if s == "\\t" else _BLANK
+
+
+_CELL = "<S>(?:{B}*\"(?:[^\"]|\"\")*\"{B}*|[^<S>\"]*)"
+
+
+def _cut(call: str) -> str:
+    return "case sep " + " ".join(f"when {'chr(9)' if c == chr(9) else repr(c)} then " + call.replace("<CELL>", _CELL.replace("{B}", _outer(s))).replace("<S>", s).replace("{B}", _outer(s)).replace("{W}", rejects.BLANKS) for c, s in _SEPARATORS) + " end"
+
+
+_LINES = f"""
+f as (select distinct on (file_id) * from log_files where file_id is not null order by file_id, uploaded_at nulls first),
+o as (select file_id, sep, last_value(case when headers is not null then {{{{'h': headers, 't': field_types}}}} end ignore nulls) over (partition by source_id order by coalesce(epoch_us(uploaded_at), 0), file_id rows unbounded preceding) as force from f),
+h as (select file_id, sep, unnest(string_split(force.h, sep)) as raw, unnest(string_split(force.t, ',')) as type, generate_subscripts(string_split(force.h, sep), 1) as pos from o where force is not null),
+n as (select h.*, lower(trim(trim(replace(trim(raw), chr(65279), ''), '"'))) as name from h),
+y as (select file_id, any_value(sep) as sep, list(coalesce(a.field, n.name) order by pos) as fields, list(lower(trim(type)) order by pos) as types from n left join field_aliases a on a.alias = n.name group by 1),
+l as (select line_id, file_id, line_no, sep, fields, types, {_cut("regexp_replace(regexp_replace(line, '^{B}+|{B}+$', '', 'g'), '^[{W}]+', '')")} as line from raw_lines join y using (file_id)
+  where regexp_matches(line, '^[\\s\\pZ]*\\d{{2,4}}-\\d{{2}}')),
+m as (select *, regexp_extract(line, '^(\\d{{4}}-\\d{{2}}-\\d{{2}} \\d{{1,2}}:\\d{{2}}(?::\\d{{2}})?|\\d{{2}}-\\d{{2}} \\d{{2}}:\\d{{2}}:\\d{{2}})') as tm from l),
+r as (select *, substr(line, length(tm) + 1) as rest, try_cast(case when substr(tm, 3, 1) = '-' then '2000-' || tm when length(tm) - length(replace(tm, ':', '')) = 1 then tm || ':00' else tm end as timestamp) as at_, tm like '% 24:%' as late from m),
+w as (select *, {_cut("regexp_full_match(rest, '(?:<CELL>)*')")} as whole,
+  {_cut("list_transform(regexp_extract_all(rest, '<CELL>'), lambda x: regexp_replace(regexp_replace(x[2:], '^{B}+|{B}+$', '', 'g'), '^\"(.*)\"$', '\\1', 's'))")} as cells from r),
+v as (select *, list_transform(cells, lambda x: regexp_replace(x, '^[{rejects.BLANKS}]+|[{rejects.BLANKS}]+$', '', 'g')) as got from w),
+c as (select *, list_transform(range(2, len(fields) + 1), lambda i: case when got[i - 1] = '' or got[i - 1] is null or types[i] not in ('int', 'decimal') then 0
+    when not regexp_full_match(got[i - 1], case types[i] when 'int' then '-?[0-9]+' else '-?[0-9]+([.][0-9]+)?' end) then 2
+    when fields[i] in ('p1', 'p2', 'p3', 'p4', 'p5', 'p6') and try_cast(got[i - 1] as double) not between 0 and 4095 or fields[i] = 'temp' and try_cast(got[i - 1] as double) not between -10 and 60
+      or fields[i] = 'humid' and try_cast(got[i - 1] as double) not between 0 and 100 then 1 else 0 end) as faults from v)""".replace("{{", "{").replace("}}", "}")
+
+
 _READINGS = """
 readings as (
   select subject_id, device_id, w.bin_s, w.max_gap_s, epoch_us(ts) as us
@@ -46,6 +81,10 @@ readings as (
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "p2_found": f"""with {_LINES},
+x as (select line_id, case when at_ is null or late then 'bad_time' when not starts_with(rest, sep) then 'bad_separator' when not whole then 'broken_quote' when len(cells) + 1 <> len(fields) then 'wrong_count'
+  when list_contains(faults, 2) then 'bad_value' when list_contains(faults, 1) then 'out_of_range' end as reason from c)
+select line_id, reason from x where reason is not null""",
         "p4_found": """
 with s as (
   select distinct subject_id, device_id, coalesce(t0, epoch(try_strptime(split_part(prov, '|', 3), '%Y-%m-%d %H:%M:%S'))::bigint) as s from windows),
