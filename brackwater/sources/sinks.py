@@ -67,7 +67,7 @@ class Store:
 def resolved(path: Column) -> Column:
     """A path without '.', '..' and doubled separators, in lower case: two levels of '..' are enough for listed paths."""
     up = r"(^|/)(?!\.\./)[^/]+/\.\./"
-    out = F.regexp_replace(path, r"/(\./)+|//+", "/")
+    out = F.regexp_replace(F.regexp_replace(path, "//+", "/"), r"/(\./)+", "/")
     return F.lower(F.regexp_replace(F.regexp_replace(out, up, "$1"), up, "$1"))
 
 
