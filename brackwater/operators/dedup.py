@@ -10,11 +10,11 @@ from brackwater.operators.ordered import neighbour
 
 
 def sequence_matches(df: DataFrame, parts: list[str], order: str, values: list[str], k: int) -> DataFrame:
-    """(gram, n_files, first_pos): fingerprints of k consecutive rows of a part that occur more than once."""
+    """(gram, n_places, n_files, first_pos): fingerprints of k consecutive rows of a part that occur more than once; the first of `parts` is the file."""
     w = Window.partitionBy(*parts).orderBy(order)
     rows = [F.concat_ws("|", *[(F.lead(v, i).over(w) if i else F.col(v)).cast("string") for v in values]) for i in range(k)]
-    marked = df.select(F.md5(F.concat_ws("/", *rows)).alias("gram"), F.col(order).alias("_pos"), F.lead(F.lit(1), k - 1).over(w).alias("_whole"))
-    return marked.where("_whole is not null").groupBy("gram").agg(F.count("*").alias("n_files"), F.min("_pos").alias("first_pos")).where("n_files > 1")
+    marked = df.select(F.md5(F.concat_ws("/", *rows)).alias("gram"), F.col(order).alias("_pos"), F.col(parts[0]).alias("_file"), F.lead(F.lit(1), k - 1).over(w).alias("_whole"))
+    return marked.where("_whole is not null").groupBy("gram").agg(F.count("*").alias("n_places"), F.count_distinct("_file").alias("n_files"), F.min("_pos").alias("first_pos")).where("n_places > 1")
 
 
 def duplicate_counts(df: DataFrame, stream: list[str], time: str, values: list[str], event: str) -> DataFrame:

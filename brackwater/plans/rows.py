@@ -290,7 +290,7 @@ def _(spark, d):
 @query("E02_sequence_fingerprint", f"""with {DUP}, k as (select *, row_number() over w as rn, count(*) over (partition by file_id, subject_id, device_id) as n,
   md5(concat_ws('|', {_V}) || '/' || concat_ws('|', {', '.join(f'lead({c}, 1) over w' for c in _V.split(', '))}) || '/' || concat_ws('|', {', '.join(f'lead({c}, 2) over w' for c in _V.split(', '))})) as gram
   from dup window w as (partition by file_id, subject_id, device_id order by pos))
-select gram, count(*) as n_files, min(pos) as first_pos from k where rn <= n - 2 group by gram having count(*) > 1""")
+select gram, count(*) as n_places, count(distinct file_id) as n_files, min(pos) as first_pos from k where rn <= n - 2 group by gram having count(*) > 1""")
 def _(spark, d):
     return dedup.sequence_matches(dup_rows(spark, d), ["file_id", "subject_id", "device_id"], "pos", [*P, "temperature", "humidity"], 3)
 
