@@ -108,15 +108,65 @@ def ridge(df: DataFrame, keys: list[str], features: list[str], target: str, alph
     return moments.mapInPandas(solve, schema)
 
 
+DRAWS_A_GROUP = 1 << 23
+DRAWS_A_BLOCK = 1 << 16
+
+
+def _drawn(r, j, n):
+    """The night, from 0, that draw j of resample r takes out of n: the same arithmetic for columns and arrays."""
+    return (r * 7919 + j * 104729 + (r * j) % 8191 * 31) % n
+
+
 def draws(nights: DataFrame, resamples: int) -> DataFrame:
     """(resample, ordinal, times): how often each of n nights is drawn in a resample, by an integer hash draw.
 
     n * resamples rows, n being a number of nights; draws come from their own ordinals, so the table is made by explode.
     """
     j = nights.select("subject_id", "n", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))).alias("r")).withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
-    pick = (F.col("r") * 7919 + F.col("j") * 104729 + (F.col("r") * F.col("j")) % 8191 * 31) % F.col("n")
+    pick = _drawn(F.col("r"), F.col("j"), F.col("n"))
     return j.select("subject_id", F.col("r").alias("resample"), (pick + 1).cast("long").alias("ordinal")).groupBy("subject_id", "resample", "ordinal").agg(F.count("*").alias("times"))
 
 
+def resampled_sums(cells: DataFrame, key: str, values: list[str], resamples: int, draws_a_group: int = DRAWS_A_GROUP) -> DataFrame:
+    """(subject_id, key, resample, values): sums of whole numbers over the nights that `draws` gives every resample.
+
+    `cells` has subject_id, its number of `nights`, ordinal, key and values, one row a night and key.  The first value
+    counts rows; a key without rows in a resample is left out.  The table of draws, nights * resamples rows, is never
+    formed: a subject's resamples are cut into runs of about `draws_a_group` draws, and each run counts its own draws in
+    one Arrow group, which has one row a night and key and so is bounded by the calendar.
+    """
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    step = F.greatest(F.lit(1), F.least(F.lit(resamples), F.call_function("div", F.lit(draws_a_group), F.col("nights")))).cast("int")
+    runs = cells.select("subject_id", key, *[F.col(c).cast("long").alias(c) for c in ("nights", "ordinal", *values)], step.alias("_step"))
+    runs = runs.withColumn("_first", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1), F.col("_step"))))
+    schema = cells.select("subject_id", key).schema.add("resample", T.IntegerType())
+    for v in values:
+        schema = schema.add(v, T.LongType())
+
+    def count(run):
+        run = run.combine_chunks()
+        kinds = pc.dictionary_encode(run[key], null_encoding="encode").combine_chunks()
+        n, first, k = run["nights"][0].as_py(), run["_first"][0].as_py(), len(kinds.dictionary)
+        last = min(first + run["_step"][0].as_py(), resamples)
+        night = np.zeros((k, len(values), n), np.int64)
+        night[kinds.indices.to_numpy(), :, run["ordinal"].to_numpy() - 1] = np.stack([run[v].to_numpy() for v in values], axis=1)
+        night, j, sums = night.reshape(-1, n), np.arange(n), []
+        block = max(1, DRAWS_A_BLOCK // n)
+        for at in range(first, last, block):
+            r = np.arange(at, min(at + block, last))[:, None]
+            times = np.bincount((_drawn(r, j, n) + (r - at) * n).ravel(), minlength=len(r) * n).reshape(-1, n)
+            sums += [night @ t for t in times]
+        sums = np.array(sums).reshape(-1, len(values))
+        kind, resample = np.tile(np.arange(k), last - first), np.repeat(np.arange(first, last, dtype=np.int32), k)
+        kept = sums[:, 0] > 0
+        columns = {"subject_id": pa.repeat(run["subject_id"][0], int(kept.sum())), key: kinds.dictionary.take(pa.array(kind[kept])), "resample": resample[kept]}
+        return pa.table(columns | {v: sums[kept, i] for i, v in enumerate(values)})
+
+    return runs.groupBy("subject_id", "_first").applyInArrow(count, schema)
+
+
 def side(low: Column, high: Column) -> Column:
     return F.when(low > 0, "above_zero").when(high < 0, "below_zero").otherwise("includes_zero")

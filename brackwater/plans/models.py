@@ -490,6 +490,11 @@ dr as (select subject_id, r as resample, (r * 7919 + j * 104729 + (r * j) % 8191
 boot as (select subject_id, target, resample, sum(times * a) / sum(times * part.n) as mae_a, sum(times * b) / sum(times * part.n) as mae_b from dr join part using (subject_id, ordinal) group by all)"""
 
 
+def numbered(rows: DataFrame) -> DataFrame:
+    """Each subject's nights with their ordinals and their number."""
+    return agg.ordinals(rows).withColumn("nights", F.max("ordinal").over(Window.partitionBy("subject_id")))
+
+
 def bootstrap(spark, d, resamples: int = RESAMPLES) -> DataFrame:
     rows = placed(spark, d)
     o = agg.ordinals(rows)
@@ -527,13 +532,11 @@ def _(spark, d, resamples=RESAMPLES):
 w as (select subject_id, target, resample, sum(times * m.n)::double as n, sum(times * sp)::double as sp, sum(times * sy)::double as sy, sum(times * spp)::double as spp, sum(times * syy)::double as syy, sum(times * spy)::double as spy from dr join m using (subject_id, ordinal) group by all)
 select subject_id, target, resample, round((spy / n - sp / n * sy / n) / sqrt((spp / n - pow(sp / n, 2)) * (syy / n - pow(sy / n, 2))), 5) as r from w""")
 def _(spark, d, resamples=RESAMPLES):
-    rows = placed(spark, d)
-    o = agg.ordinals(rows)
+    rows = sensor(spark, d)
     p, y = F.col("p").cast("long"), F.col("y").cast("long")
-    x = predicted(rows).where("seed = 0").join(o, ["subject_id", "night"])
-    m = x.groupBy("subject_id", "target", "ordinal").agg(F.count("*").alias("n"), F.sum(p).alias("sp"), F.sum(y).alias("sy"), F.sum(p * p).alias("spp"), F.sum(y * y).alias("syy"), F.sum(p * y).alias("spy"))
-    drawn = stats.draws(o.groupBy("subject_id").agg(F.max("ordinal").cast("long").alias("n")), resamples).withColumn("ordinal", F.col("ordinal").cast("int"))
-    w = drawn.join(m, ["subject_id", "ordinal"]).groupBy("subject_id", "target", "resample").agg(*[F.sum(F.col("times") * F.col(c)).cast("double").alias(c) for c in ("n", "sp", "sy", "spp", "syy", "spy")])
+    m = predicted(rows).where("seed = 0").groupBy("subject_id", "target", "night").agg(F.count("*").alias("n"), F.sum(p).alias("sp"), F.sum(y).alias("sy"), F.sum(p * p).alias("spp"), F.sum(y * y).alias("syy"), F.sum(p * y).alias("spy"))
+    sums = ["n", "sp", "sy", "spp", "syy", "spy"]
+    w = stats.resampled_sums(m.join(numbered(rows), ["subject_id", "night"]), "target", sums, resamples).withColumns({c: F.col(c).cast("double") for c in sums})
     n = F.col("n")
     cov = F.col("spy") / n - F.col("sp") / n * F.col("sy") / n
     return w.select("subject_id", "target", "resample", F.round(F.try_divide(cov, F.sqrt((F.col("spp") / n - F.pow(F.col("sp") / n, 2)) * (F.col("syy") / n - F.pow(F.col("sy") / n, 2)))), 5).alias("r"))
