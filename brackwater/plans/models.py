@@ -496,15 +496,11 @@ def numbered(rows: DataFrame) -> DataFrame:
 
 
 def bootstrap(spark, d, resamples: int = RESAMPLES) -> DataFrame:
-    rows = placed(spark, d)
-    o = agg.ordinals(rows)
-    x = predicted(rows).join(o, ["subject_id", "night"])
+    rows = sensor(spark, d)
     e = F.abs(F.col("p") - F.col("y"))
-    part = x.groupBy("subject_id", "target", "ordinal").agg(F.sum(F.when(F.col("seed") == 0, e)).alias("a"), F.sum(F.when(F.col("seed") == 1, e)).alias("b"), F.count_if(F.col("seed") == 0).alias("n"))
-    drawn = stats.draws(o.groupBy("subject_id").agg(F.max("ordinal").cast("long").alias("n")), resamples)
-    joined = drawn.withColumn("ordinal", F.col("ordinal").cast("int")).join(part, ["subject_id", "ordinal"])
-    over = lambda c: F.sum(F.col("times") * F.col(c)) / F.sum(F.col("times") * F.col("n"))
-    return joined.groupBy("subject_id", "target", "resample").agg(over("a").alias("mae_a"), over("b").alias("mae_b"))
+    part = predicted(rows).where("seed < 2").groupBy("subject_id", "target", "night").agg(F.count_if(F.col("seed") == 0).alias("n"), F.sum(F.when(F.col("seed") == 0, e)).alias("a"), F.sum(F.when(F.col("seed") == 1, e)).alias("b"))
+    w = stats.resampled_sums(part.join(numbered(rows), ["subject_id", "night"]), "target", ["n", "a", "b"], resamples)
+    return w.select("subject_id", "target", "resample", (F.col("a") / F.col("n")).alias("mae_a"), (F.col("b") / F.col("n")).alias("mae_b"))
 
 
 @query("N01_draws", f"with {_BOOT} select * from dr")
