@@ -544,11 +544,9 @@ g as (select subject_id, ordinal, coalesce(code, 'UNKNOWN') as st, count(*) as n
 b as (select subject_id, resample, st, sum(times * n)::double as n, sum(times * t)::double as t, sum(times * q)::double as q from dr join g using (subject_id, ordinal) group by all)
 select subject_id, resample, round((sum(t * t / n) - sum(t) * sum(t) / sum(n)) / (sum(q) - sum(t) * sum(t) / sum(n)), 6) as eta2 from b group by 1, 2""")
 def _(spark, d, resamples=50):
-    c = heater(spark, d)
-    o = agg.ordinals(c)
-    g = c.join(o, ["subject_id", "night"]).groupBy("subject_id", "ordinal", "state").agg(F.count("*").alias("n"), F.sum("temperature").alias("t"), F.sum(F.col("temperature") * F.col("temperature")).alias("q"))
-    drawn = stats.draws(o.groupBy("subject_id").agg(F.max("ordinal").cast("long").alias("n")), resamples).withColumn("ordinal", F.col("ordinal").cast("int"))
-    b = drawn.join(g, ["subject_id", "ordinal"]).groupBy("subject_id", "resample", "state").agg(*[F.sum(F.col("times") * F.col(x)).cast("double").alias(x) for x in ("n", "t", "q")])
+    t = F.col("temperature")
+    g = heater(spark, d).groupBy("subject_id", "night", "state").agg(F.count("*").alias("n"), F.sum(t).alias("t"), F.sum(t * t).alias("q"))
+    b = stats.resampled_sums(g.join(numbered(sensor(spark, d)), ["subject_id", "night"]), "state", ["n", "t", "q"], resamples).withColumns({c: F.col(c).cast("double") for c in ("n", "t", "q")})
     mid = F.sum("t") * F.sum("t") / F.sum("n")
     return b.groupBy("subject_id", "resample").agg(F.round(F.try_divide(F.sum(F.col("t") * F.col("t") / F.col("n")) - mid, F.sum("q") - mid), 6).alias("eta2"))
 

@@ -35,7 +35,7 @@ def plain(rows):
     return sorted((tuple(round(v, 4) if isinstance(v, float) else v for v in r) for r in rows), key=str)
 
 
-@pytest.mark.parametrize("name", ["N05_correlation_bootstrap_whole", "O02_interpretation_whole", "N02_resampled_errors_whole"])
+@pytest.mark.parametrize("name", ["N05_correlation_bootstrap_whole", "O02_interpretation_whole", "N02_resampled_errors_whole", "N06_eta_interval"])
 def test_many_nights(spark, nights, name):
     con = duckdb.connect()
     con.execute(f"create view events as from '{nights}/events.parquet'")
