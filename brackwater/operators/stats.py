@@ -108,13 +108,25 @@ def ridge(df: DataFrame, keys: list[str], features: list[str], target: str, alph
     return moments.mapInPandas(solve, schema)
 
 
-DRAWS_A_GROUP = 1 << 23
-DRAWS_A_BLOCK = 1 << 16
+DRAWS_A_GROUP = 1 << 25
+PERIOD = 8191
 
 
 def _drawn(r, j, n):
-    """The night, from 0, that draw j of resample r takes out of n: the same arithmetic for columns and arrays."""
-    return (r * 7919 + j * 104729 + (r * j) % 8191 * 31) % n
+    """The night, from 0, that draw j of resample r takes out of n; `_times` counts the same draws."""
+    return (r * 7919 + j * 104729 + (r * j) % PERIOD * 31) % n
+
+
+def _times(r: int, steady, n: int):
+    """How often resample r draws each of n nights; `steady` is the part of every draw that is the same in all resamples, modulo n.
+
+    The rest repeats after PERIOD draws, so a division is needed only for these; both parts and their sum stay below 2 * n.
+    """
+    import numpy as np
+
+    rest = _drawn(r, np.arange(min(n, PERIOD)), n) - steady[:PERIOD]
+    rest[rest < 0] += n
+    return np.bincount(steady + np.resize(rest, n), minlength=2 * n).reshape(2, n).sum(axis=0)
 
 
 def draws(nights: DataFrame, resamples: int) -> DataFrame:
@@ -153,19 +165,17 @@ def resampled_sums(cells: DataFrame, key: str, values: list[str], resamples: int
         last = min(first + run["_step"][0].as_py(), resamples)
         night = np.zeros((k, len(values), n), np.int64)
         night[kinds.indices.to_numpy(), :, run["ordinal"].to_numpy() - 1] = np.stack([run[v].to_numpy() for v in values], axis=1)
-        night, j, sums = night.reshape(-1, n), np.arange(n), []
-        block = max(1, DRAWS_A_BLOCK // n)
-        for at in range(first, last, block):
-            r = np.arange(at, min(at + block, last))[:, None]
-            times = np.bincount((_drawn(r, j, n) + (r - at) * n).ravel(), minlength=len(r) * n).reshape(-1, n)
-            sums += [night @ t for t in times]
+        night, steady = night.reshape(-1, n), np.arange(n) * 104729 % n
+        sums = [night @ _times(r, steady, n) for r in range(first, last)]
         sums = np.array(sums).reshape(-1, len(values))
         kind, resample = np.tile(np.arange(k), last - first), np.repeat(np.arange(first, last, dtype=np.int32), k)
         kept = sums[:, 0] > 0
         columns = {"subject_id": pa.repeat(run["subject_id"][0], int(kept.sum())), key: kinds.dictionary.take(pa.array(kind[kept])), "resample": resample[kept]}
         return pa.table(columns | {v: sums[kept, i] for i, v in enumerate(values)})
 
-    return runs.groupBy("subject_id", "_first").applyInArrow(count, schema)
+    # The rows of a run are few against its draws, so runs must not be put together by their bytes.
+    parts = int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return runs.repartition(parts, "subject_id", "_first").groupBy("subject_id", "_first").applyInArrow(count, schema)
 
 
 def side(low: Column, high: Column) -> Column:

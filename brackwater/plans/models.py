@@ -12,7 +12,7 @@ from brackwater.functions import quality
 from brackwater.operators import series as agg
 from brackwater.operators import splits, stats, windows
 from brackwater.plans.series import _CTX, heater
-from brackwater.plans.views import PLACED, PREDICTED, SENSOR, P, placed, predicted, sensor
+from brackwater.plans.views import PLACED, PREDICTED, SENSOR, P, placed, predicted, prediction, sensor, targets_valid
 from brackwater.shared import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -496,10 +496,14 @@ def numbered(rows: DataFrame) -> DataFrame:
 
 
 def bootstrap(spark, d, resamples: int = RESAMPLES) -> DataFrame:
-    rows = sensor(spark, d)
-    e = F.abs(F.col("p") - F.col("y"))
-    part = predicted(rows).where("seed < 2").groupBy("subject_id", "target", "night").agg(F.count_if(F.col("seed") == 0).alias("n"), F.sum(F.when(F.col("seed") == 0, e)).alias("a"), F.sum(F.when(F.col("seed") == 1, e)).alias("b"))
-    w = stats.resampled_sums(part.join(numbered(rows), ["subject_id", "night"]), "target", ["n", "a", "b"], resamples)
+    """Both predictors' errors a resample: every reading is read once and summed into its night; nights without valid readings count."""
+    error = lambda target, seed: F.sum(F.when(targets_valid(), F.abs(prediction(target, seed) - F.col(target))))
+    sums = [error(target, seed).alias(f"{target}_{seed}") for target in ("temperature", "humidity") for seed in (0, 1)]
+    own = Window.partitionBy("subject_id")
+    nights = sensor(spark, d).groupBy("subject_id", "night").agg(F.count_if(targets_valid()).alias("n"), *sums)
+    nights = nights.select("*", F.row_number().over(own.orderBy("night")).alias("ordinal"), F.count("*").over(own).alias("nights")).where("n > 0")
+    part = nights.selectExpr("subject_id", "nights", "ordinal", "n", "stack(2, 'temperature', temperature_0, temperature_1, 'humidity', humidity_0, humidity_1) as (target, a, b)")
+    w = stats.resampled_sums(part, "target", ["n", "a", "b"], resamples)
     return w.select("subject_id", "target", "resample", (F.col("a") / F.col("n")).alias("mae_a"), (F.col("b") / F.col("n")).alias("mae_b"))
 
 

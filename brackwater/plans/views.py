@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from brackwater.shared import table
@@ -62,9 +62,17 @@ def placed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.drop("_s", "_g")
 
 
+def targets_valid() -> Column:
+    return F.col("temperature").between(1, 59) & F.col("humidity").between(1, 100)
+
+
+def prediction(target: str, seed: Column | int) -> Column:
+    return 24 + (F.col("row_id") * 7) % 9 + seed if target == "temperature" else 50 + (F.col("row_id") * 11) % 13 - seed
+
+
 def predicted(rows: DataFrame) -> DataFrame:
-    valid = rows.where(F.col("temperature").between(1, 59) & F.col("humidity").between(1, 100))
+    valid = rows.where(targets_valid())
     cases = valid.withColumn("seed", F.explode(F.array(*[F.lit(i) for i in range(3)]))).withColumn("target", F.explode(F.array(F.lit("temperature"), F.lit("humidity"))))
     warm = F.col("target") == "temperature"
     return cases.withColumns({"y": F.when(warm, F.col("temperature")).otherwise(F.col("humidity")),
-                              "p": F.when(warm, 24 + (F.col("row_id") * 7) % 9 + F.col("seed")).otherwise(50 + (F.col("row_id") * 11) % 13 - F.col("seed"))})
+                              "p": F.when(warm, prediction("temperature", F.col("seed"))).otherwise(prediction("humidity", F.col("seed")))})

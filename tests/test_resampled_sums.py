@@ -56,3 +56,29 @@ def test_sums_over_draws(spark, draws_a_group):
     assert got.columns == ["subject_id", "kind", "resample", "n", "v"]
     assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, want), key=str)
     assert 0 < sum(r["kind"] == "rare" for r in want) < 30
+
+
+def test_errors_read_once(spark, tmp_path):
+    """Many readings a night: no step of N02 has more rows than the readings themselves; nights without valid readings and a null id."""
+    readings = 20_000
+    duckdb.sql(f"copy (select x as event_id from range({readings}) t(x) where x // 300 <> 5 or x % 53 = 0 union all select null) to '{tmp_path}/events.parquet'")
+    con = duckdb.connect()
+    con.execute(f"create view events as from '{tmp_path}/events.parquet'")
+    want = con.sql(entry.oracle_sql()["N02_resampled_errors_whole"])
+    df = entry.queries()["N02_resampled_errors_whole"](spark, str(tmp_path)).select(*want.columns)
+    assert plain(tuple(r) for r in df.collect()) == plain(want.fetchall())
+    assert most_rows(df) <= readings
+
+
+@pytest.mark.parametrize("nights", [stats.PERIOD, stats.PERIOD + 1, 20_000])
+def test_draws_repeat_after_the_period(spark, nights):
+    drawn = stats.draws(spark.createDataFrame([("A", nights)], "subject_id string, n long"), 5)
+    cells = spark.range(1, nights + 1).selectExpr("'A' as subject_id", f"{nights} as nights", "id as ordinal", "'x' as kind", "1L as n", "id * id as v")
+    want = drawn.groupBy("resample").agg({"times": "sum"}).join(drawn.selectExpr("resample", "times * ordinal * ordinal as v").groupBy("resample").sum("v"), "resample")
+    assert sorted(tuple(r) for r in stats.resampled_sums(cells, "kind", ["n", "v"], 5).select("resample", "n", "v").collect()) == sorted(tuple(r) for r in want.collect())
+
+
+def test_runs_are_spread(spark):
+    """Runs of few rows and many draws are not put together in one task."""
+    cells = spark.createDataFrame([("A", 9, i, "x", 1) for i in range(1, 10)], "subject_id string, nights int, ordinal int, kind string, n long")
+    assert stats.resampled_sums(cells, "kind", ["n"], 30, 9).rdd.getNumPartitions() > 1
